@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import join_keys
+
 #: A token is a run of word characters or a run of other visible characters, as written.
 TOKEN = re.compile(r"\w+|[^\w\t\n\f\r ]+")
 BUCKETS = 1 << 18
@@ -52,7 +54,7 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) ->
     Each task counts into arrays and sends them compressed, in chunks that are summed by chunk, so what is
     shuffled doesn't grow with the vocabulary and what reaches the driver doesn't grow with the input.
     """
-    flagged = docs.select("doc_id", "text").join(trusted.select("doc_id").distinct().withColumn("__trusted", F.lit(True)), "doc_id", "left")
+    flagged = join_keys(docs.select("doc_id", "text"), trusted.select("doc_id").distinct().withColumn("__trusted", F.lit(True)), "doc_id", "left")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = np.zeros((2, buckets + 1), np.int64)
