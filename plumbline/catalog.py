@@ -2,12 +2,6 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from plumbline.plans.queries import FLAGSHIP, oracle_sql, queries
 
-
-def queries() -> dict:
-    return {}
-
-
-def oracle_sql() -> dict:
-    return {}
+__all__ = ["FLAGSHIP", "oracle_sql", "queries"]
