@@ -155,5 +155,6 @@ def population_fingerprint(rows: list[dict]) -> str:
     return hashlib.sha256(json.dumps(rows, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
 
 
-def assign_tier(n_targets: Column, n_tables: Column, nil: Column, doc: Column) -> Column:
-    return F.when(nil, "absent").when(n_tables > 1, "join").when(n_targets > 1, "cross-record").when(doc, "paraphrase").otherwise("anchor")
+def assign_tier(n_targets: Column, n_target_tables: Column, n_sql_tables: Column) -> Column:
+    """cross-record if the gold rows lie in several tables, join if several mentions and the gold SQL joins tables, else anchor."""
+    return F.when(n_target_tables >= 2, "cross-record").when((n_targets >= 2) & (n_sql_tables >= 2), "join").otherwise("anchor")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
 from plumbline.operators import evaluate as ev
-from plumbline.operators import graph, lexical, relational, resolve, vectors
+from plumbline.operators import graph, lexical, mining, relational, resolve, vectors
 from plumbline.sources.catalog import test_tables
 
 FLAGSHIP = "resolve_candidates"
@@ -326,13 +326,11 @@ def _vectors(spark, d) -> DataFrame:
     return _read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
 
 
-@query("""with p as (select q.vec_id qid, t.vec_id id, round(list_reduce(list_transform(range(1, 65), lambda k: cast(q.embedding[k] as double) * t.embedding[k]), lambda x, y: x + y) / (sqrt(list_reduce(list_transform(range(1, 65), lambda k: cast(q.embedding[k] as double) * q.embedding[k]), lambda x, y: x + y)) * sqrt(list_reduce(list_transform(range(1, 65), lambda k: cast(t.embedding[k] as double) * t.embedding[k]), lambda x, y: x + y))), 6) cos
+@query("""with p as (select q.vec_id qid, t.vec_id id, round(list_reduce(list_transform(range(1, 65), lambda k: cast(q.embedding[k] as double) * t.embedding[k]), lambda x, y: x + y) / (sqrt(list_reduce(list_transform(range(1, 65), lambda k: cast(q.embedding[k] as double) * q.embedding[k]), lambda x, y: x + y)) * sqrt(list_reduce(list_transform(range(1, 65), lambda k: cast(t.embedding[k] as double) * t.embedding[k]), lambda x, y: x + y))), 9) cos
   from embeddings q, embeddings t), r as (select *, row_number() over (partition by qid order by cos desc, id) k from p) select qid, id, cos, cast(k as int) k from r where k <= 5""")
 def knn_exact(spark, d):
     v = _vectors(spark, d)
-    k = vectors.knn(v.withColumnRenamed("id", "qid"), v, 12).withColumn("cos", F.round("cos", 6))
-    w = Window.partitionBy("qid").orderBy(F.desc("cos"), "id")
-    return k.withColumn("k", F.row_number().over(w)).where("k <= 5")
+    return vectors.knn(v.withColumnRenamed("id", "qid"), v, 5)
 
 
 @query()
@@ -499,7 +497,7 @@ def nil_report(spark, d):
     return ev.nil_report(_graded(spark, d).select((F.col("toxic") == 1).alias("nil"), (F.col("score") < 0.3).alias("said_nil")))
 
 
-_NEAR = """p as (select q.vec_id qid, q.label ql, t.vec_id id, t.label tl, round(list_reduce(list_transform(range(1, 65), lambda k: cast(q.embedding[k] as double) * t.embedding[k]), lambda x, y: x + y) / (sqrt(list_reduce(list_transform(range(1, 65), lambda k: cast(q.embedding[k] as double) * q.embedding[k]), lambda x, y: x + y)) * sqrt(list_reduce(list_transform(range(1, 65), lambda k: cast(t.embedding[k] as double) * t.embedding[k]), lambda x, y: x + y))), 6) cos from embeddings q, embeddings t where q.vec_id <> t.vec_id),
+_NEAR = """p as (select q.vec_id qid, q.label ql, t.vec_id id, t.label tl, round(list_reduce(list_transform(range(1, 65), lambda k: cast(q.embedding[k] as double) * t.embedding[k]), lambda x, y: x + y) / (sqrt(list_reduce(list_transform(range(1, 65), lambda k: cast(q.embedding[k] as double) * q.embedding[k]), lambda x, y: x + y)) * sqrt(list_reduce(list_transform(range(1, 65), lambda k: cast(t.embedding[k] as double) * t.embedding[k]), lambda x, y: x + y))), 9) cos from embeddings q, embeddings t where q.vec_id <> t.vec_id),
 r as (select *, row_number() over (partition by qid order by cos desc, id) - 1 place from p)"""
 
 
@@ -507,14 +505,14 @@ def _ranked_labels(spark, d) -> DataFrame:
     """Each vector as a query whose target is its own label among its 10 nearest others."""
     e = _read(spark, d, "embeddings")
     v = _vectors(spark, d)
-    k = vectors.knn(v.withColumnRenamed("id", "qid"), v, 24).where("qid <> id").withColumn("cos", F.round("cos", 6))
+    k = vectors.knn(v.withColumnRenamed("id", "qid"), v, 24).where("qid <> id")
     w = Window.partitionBy("qid").orderBy(F.desc("cos"), "id")
     k = k.withColumn("place", F.row_number().over(w) - 1).where("place < 10")
     return k.join(e.select(F.col("vec_id").alias("id"), F.col("label").alias("target")), "id").select("qid", "target", "place")
 
 
 @query(f"""with {_NEAR}, h as (select e.vec_id qid, e.label target, min(place) rank from embeddings e left join r on r.qid = e.vec_id and r.tl = e.label and r.place < 10 group by all)
-select qid, count(*) targets, count(*) filter (rank < 5) found, round(count_if(rank < 5) / count(*), 9) recall, round(avg(coalesce(1.0 / (rank + 1), 0)), 9) mrr, cast(min(rank) as int) "first" from h group by qid""")
+select qid, count(*) targets, count(*) filter (rank < 5) found, round(count(*) filter (rank < 5) / count(*), 9) recall, round(avg(coalesce(1.0 / (rank + 1), 0)), 9) mrr, cast(min(rank) as int) "first" from h group by qid""")
 def query_outcomes(spark, d):
     t = _read(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), F.col("label").alias("target"))
     return ev.query_outcomes(ev.target_ranks(t, _ranked_labels(spark, d), ["qid", "target"]))
@@ -537,6 +535,24 @@ def paired_comparison(spark, d):
     return ev.compare_runs(g.select("qid", "tier", F.col("score").alias("v")), g.select("qid", "tier", F.col("hit").alias("v")), "tier", "v")
 
 
+# mining
+
+
+@query("""with t as (select doc_id, list_distinct(regexp_extract_all(text, '(?:CC BY[A-Z-]*|version|Version) ([0-9]+\\.?[0-9]*)', 1)) v from documents) select v "version", count(*) n from (select doc_id, unnest(v) v from t) group by v""".replace("\\\\", "\\"))
+def license_versions(spark, d):
+    v = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?:CC BY[A-Z-]*|version|Version) ([0-9]+\.?[0-9]*)"), 1))
+    return _read(spark, d, "documents").select("doc_id", F.explode(v).alias("version")).groupBy("version").agg(F.count("*").alias("n"))
+
+
+@query("""with t as (select distinct doc_id, unnest(regexp_extract_all(text, '[a-z0-9.]+@[a-z0-9.]+[a-z]|[0-9]{1,3}(?:[.][0-9]{1,3}){3}')) term from documents),
+f as (select term, count(*) df from t where length(term) >= 6 group by term having count(*) between 2 and 15000), u as (select * from t semi join f using (term)),
+p as (select a.doc_id a, b.doc_id b, count(*) shared, round(sum(1.0::double / df), 9) weight from u a join u b on a.term = b.term and a.doc_id <> b.doc_id join f on f.term = a.term group by all having count(*) >= 2)
+select a, b, shared from (select *, row_number() over (partition by a order by shared desc, weight desc, b) k from p) where k = 1""")
+def topical_partners(spark, d):
+    t = _read(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[a-z0-9.]+@[a-z0-9.]+[a-z]|[0-9]{1,3}(?:[.][0-9]{1,3}){3}"), 0)).alias("term"))
+    return mining.topical_partners(t, "doc_id", t, low=2)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
