@@ -53,8 +53,6 @@ class Counter:
         scores of the nodes on the path to the last one, and only the nodes below the branching point, which
         is the common prefix with the next one, are computed. A terminal's count is stored under its pre-token.
         """
-        if len(self.counts) > _MOST:
-            self.counts.clear()
         best, fewest, last = [0], [0], ""
         for token in sorted(pre_tokens):
             word = SPACE + token
@@ -92,7 +90,12 @@ class Counter:
     def of_texts(self, texts: list[str | None]) -> np.ndarray:
         """(pre-tokens, tokens) of each text."""
         split = [_SPLIT.findall(t) if t else [] for t in texts]
-        self.learn(set().union(*split) - self.counts.keys())
+        all_words = set().union(*split)
+        new = all_words - self.counts.keys()
+        if len(self.counts) + len(new) > _MOST:
+            self.counts.clear()
+            new = all_words
+        self.learn(new)
         out = np.zeros((len(texts), 2), np.int64)
         for k, ws in enumerate(split):
             out[k] = len(ws), sum(map(self.counts.__getitem__, ws))

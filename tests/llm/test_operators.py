@@ -316,6 +316,12 @@ def test_tries_of_random_vocabularies():
         assert {w: c.counts[w] for w in ws} == {w: brute_tokens(w, pieces, c.byte_cost) for w in ws}
 
 
+def test_a_full_cache_is_emptied_between_batches(monkeypatch):
+    monkeypatch.setattr(token_counts, "_MOST", 3)
+    c = token_counts.Counter({"▁": 1, "a": 1, "ab": 1})
+    assert [c.of_texts(["ab ba", None, "a b ab"]).tolist(), c.of_texts(["ab c ab"]).tolist()] == [[[2, 5], [0, 0], [3, 6]], [[3, 6]]]
+
+
 # 8 Jaccard join
 
 
