@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import cut
+
 _EOL = "\r\n"
 _HEADERS = "array<struct<name: string, value: string>>"
 
@@ -114,14 +116,16 @@ def assembled(records: DataFrame) -> DataFrame:
 
     Records without id or of other types are left out. Of records that repeat an id, the first in order of date,
     type and payload counts. Missing parts are null, metadata an empty array. An empty table gives no rows and
-    other columns are ignored. Links are resolved on ids alone; payloads are shuffled once.
+    other columns are ignored. Links are resolved on ids alone: what isn't a response is small and is written to
+    the shared folder with all ids, so records are read twice and a response's payload is shuffled once.
     """
     r = records.where("record_id is not null and type in ('request', 'response', 'metadata')")
     first = Window.partitionBy("record_id").orderBy("date", "type", "payload")
     one = lambda df: df.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-    rest = one(r.where("type <> 'response'").select("record_id", "type", "target_uri", "date", "concurrent_to", "payload"))
-    links = r.where("type = 'response'").select("record_id", F.explode("concurrent_to").alias("other")).distinct()
-    heads = r.where("type = 'response'").select(F.col("record_id").alias("response")).distinct()
+    light = cut(r.select("record_id", "type", "target_uri", "date", "concurrent_to", F.when(F.col("type") != "response", F.col("payload")).alias("payload")))
+    rest = one(light.where("type <> 'response'"))
+    links = light.where("type = 'response'").select("record_id", F.explode("concurrent_to").alias("other")).distinct()
+    heads = light.where("type = 'response'").select(F.col("record_id").alias("response")).distinct()
     named = rest.select("record_id", F.explode("concurrent_to").alias("other"))
     both = named.unionByName(named.select(F.col("other").alias("record_id"), F.col("record_id").alias("other")))
     direct = named.join(heads, F.col("other") == F.col("response"), "left_semi").unionByName(links.select(F.col("other").alias("record_id"), F.col("record_id").alias("other")))
