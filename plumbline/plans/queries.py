@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
 from plumbline.operators import evaluate as ev
-from plumbline.operators import graph, lexical, mining, relational, resolve, vectors
+from plumbline.operators import enrich, graph, lexical, mining, relational, resolve, vectors
 from plumbline.sources.catalog import test_tables
 
 FLAGSHIP = "resolve_candidates"
@@ -535,6 +535,49 @@ def paired_comparison(spark, d):
     return ev.compare_runs(g.select("qid", "tier", F.col("score").alias("v")), g.select("qid", "tier", F.col("hit").alias("v")), "tier", "v")
 
 
+# enrichment
+
+
+@query(f"""with {LEX_SQL}, r as (select distinct src_table, src_column, value_norm from lex where src_column in ('p_brand', 'p_type', 'c_mktsegment')),
+rows_ as (select distinct lex.src_table, lex.src_column, lex.value_norm, src_rowid from lex semi join r using (src_table, src_column, value_norm)),
+n as (select a.src_table, a.src_column, a.value_norm, o.src_column other, o.value_norm vn, count(*) n, min(o.value) v from rows_ a join lex o on a.src_table = o.src_table and a.src_rowid = o.src_rowid and a.src_column <> o.src_column group by all),
+f as (select src_table, src_column, value_norm, list(' · ' || replace(other, '_', ' ') || ': ' || v order by other) frag from (select *, sum(n) over (partition by src_table, src_column, value_norm, other) total from n) where 2 * n > total group by all),
+m as (select src_table, src_column, value_norm, value from (select *, row_number() over (partition by src_table, src_column, value_norm order by n desc, value) k from (select src_table, src_column, value_norm, value, count(*) n from lex group by all)) where k = 1)
+select src_table, src_column, value_norm, replace(src_table, '_', ' ') || ' · ' || replace(src_column, '_', ' ') || ' · ' || value || coalesce(array_to_string(list_slice(frag, 1, 2), ''), '') card
+from m semi join r using (src_table, src_column, value_norm) left join f using (src_table, src_column, value_norm)""")
+def interpretation_cards(spark, d):
+    lex = _lex(spark, d)
+    return enrich.interpretation_cards(lex, lex.where("src_column in ('p_brand', 'p_type', 'c_mktsegment')").select(*lexical.READING).distinct())
+
+
+@query(f"""with {LEX_SQL}, t as (select src_table, src_column, src_rowid, unnest(list_distinct({toks_sql('value')})) term from lex), n as (select term, src_table, src_column, count(*) n from t group by all having count(*) >= 2)
+select term, src_table, src_column, n from (select *, row_number() over (partition by term order by n desc, src_table, src_column) k from n) where k <= 4""")
+def term_column_affinity(spark, d):
+    lex = _lex(spark, d)
+    index = lexical.postings(lex)
+    return enrich.term_column_affinity(index, index, lex.select(*lexical.COLUMN).distinct())
+
+
+@query(f"""with {LEX_SQL}, {_span_values()}, e as (select distinct qid, span from spans s join lex on lower(trim(s.text)) = value_norm and length(value) <= 120)
+select qid, span, text from (select s.*, row_number() over (partition by qid order by end_ - start_ desc, span) k from spans s anti join e using (qid, span) where status <> 'skipped') where k <= 4""")
+def dense_targets(spark, d):
+    spans = _spans(spark)
+    exact = lexical.exact_channel(spans.where("status <> 'skipped'"), lexical.interpretations(_lex(spark, d)))
+    return enrich.dense_targets(spans, exact).select("qid", "span", "text")
+
+
+@query("select text as query, max(conv_id) asked_at, max(role) source from conversations group by text order by asked_at desc, query limit 8")
+def question_history(spark, d):
+    c = _read(spark, d, "conversations").select(F.col("text").alias("query"), F.col("conv_id").alias("asked_at"), F.col("role").alias("source"))
+    return enrich.history(c)
+
+
+@query("select n_nationkey, c_custkey, 'nation #' || n_nationkey || ' ←c_nationkey— customer #' || c_custkey path from nation join customer on n_nationkey = c_nationkey")
+def rendered_paths(spark, d):
+    j = _read(spark, d, "nation").join(_read(spark, d, "customer"), F.col("n_nationkey") == F.col("c_nationkey"))
+    return j.select("n_nationkey", "c_custkey", enrich.render_path(F.col("n_nationkey"), F.col("c_custkey"), [("c_nationkey", "customer", False, True)], ["nation"]).alias("path"))
+
+
 # mining
 
 
