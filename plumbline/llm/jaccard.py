@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, join_keys, shingle_hashes, word_hashes, words
+from plumbline.llm.common import HASHES, cut, join_keys, shingle_hashes, words
 from plumbline.llm.components import components
 
 #: Words in an n-gram, and the least Jaccard similarity of a pair.
@@ -23,22 +24,65 @@ THRESHOLD = 0.7
 K = 2
 #: Largest size that counts as small, whatever the cost says.
 LIGHT_MAX = 40
-#: Counters of the document-frequency sketch that orders n-grams by rarity. The order is the same for all
-#: documents, so the join is exact whatever collides.
-SKETCH = 1 << 20
+#: Counters of the n-gram sketch and of the word sketch that estimate how rare an n-gram is. The estimate is the
+#: same for all documents, so the join is exact whatever collides.
+SKETCH, WORDS = 1 << 22, 1 << 18
 _CHUNKS = 16
 _ROWS_A_PART = 1_500
 _BLOCK = 2_000
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
+_SID = np.uint64(0x9FB21C651E98DF25)
+_HASH = np.uint64((1 << 56) - 1)
+
+
+class Texts:
+    """The n-gram hashes of a run of texts, taken together so that few array operations serve many texts."""
+
+    def __init__(self, texts: list[str | None], n: int):
+        split = [words(t) for t in texts]
+        lens = np.array([len(w) for w in split], np.int64)
+        self.words = np.fromiter(map(HASHES.__getitem__, chain.from_iterable(split)), np.uint64, int(lens.sum()))
+        self.n, self.lens, self.starts = n, lens, np.cumsum(lens) - lens
+        self.grams = self._hash(self.words) if len(self.words) >= n else self.words[:0]
+
+    def _hash(self, w: np.ndarray) -> np.ndarray:
+        return shingle_hashes(w, self.n) >> np.uint64(8)  # 56 bits: the other 8 are for frequency
+
+    def ngrams(self, k: int) -> np.ndarray:
+        """With repeats; a text of fewer than n words has one n-gram, all of it."""
+        at, size = self.starts[k], self.lens[k]
+        return self.grams[at : at + size - self.n + 1] if size >= self.n else self._hash(self.words[at : at + size])
+
+    def expected(self, counts: np.ndarray) -> np.ndarray:
+        """Of each of self.grams: how often it would be there if its words met by chance."""
+        c = counts[self.words & np.uint64(WORDS - 1)].astype(np.float64)
+        total = max(float(counts.sum()), 1.0)
+        out = c[: len(self.grams)].copy()
+        for j in range(1, self.n):
+            out *= c[j : j + len(self.grams)] / total
+        return out
+
+
+def distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    if len(h) > 1:
+        keep = np.ones(len(h), bool)
+        np.not_equal(h[1:], h[:-1], out=keep[1:])
+        h = h[keep]
+    return h
 
 
 def ngram_set(text: str | None, n: int = N) -> np.ndarray:
-    """The distinct n-gram hashes of a text, ascending; a text of fewer words has one n-gram, all of it."""
-    return np.unique(shingle_hashes(word_hashes(words(text)), n))
+    """The distinct n-gram hashes of a text, ascending."""
+    return distinct(Texts([text], n).ngrams(0))
 
 
 def set_id(s: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(s.tobytes()) >> 1
+    """A hash of a set of distinct n-gram hashes, in any order."""
+    with np.errstate(over="ignore"):
+        m = s * _SID
+        m ^= m >> np.uint64(32)
+        return (xxhash.xxh3_64_intdigest((m * _SID).sum().tobytes()) ^ len(s)) >> 1
 
 
 def _missing(size: int, t: float) -> int:
@@ -46,29 +90,47 @@ def _missing(size: int, t: float) -> int:
     return size - math.ceil(size * t - 1e-9)
 
 
+def _slices(column: pa.Array, size: int = 500) -> Iterator[tuple[int, list[str | None]]]:
+    for start in range(0, len(column), size):
+        yield start, column.slice(start, size).to_pylist()
+
+
 def _read_sets(docs: DataFrame, n: int) -> DataFrame:
-    """One pass over the text: chunks of the frequency sketch (chunk >= 0) and packed ids of the sets (chunk = -1)."""
+    """One pass over the text: chunks of the sketches (chunk >= 0) and packed ids of the sets (chunk = -1)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH, np.int64)
+        counts, by_word = np.zeros(SKETCH, np.int64), np.zeros(WORDS, np.int64)
         held: list[np.ndarray] = []
+        held_words: list[np.ndarray] = []
+
+        def flush() -> None:
+            nonlocal counts, by_word, held, held_words
+            if held:
+                counts += np.bincount(np.concatenate(held).view(np.int64), minlength=SKETCH)
+                by_word += np.bincount(np.concatenate(held_words).view(np.int64), minlength=WORDS)
+            held, held_words = [], []
+
         size = 0
         for b in batches:
             ids, sids, sizes = [], [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                s = ngram_set(text.as_py(), n)
-                if len(s):
-                    ids.append(doc), sids.append(set_id(s)), sizes.append(len(s))
-                    held.append(s & np.uint64(SKETCH - 1))
-                    size += len(s)
-                    if size > 2 * SKETCH:
-                        counts += np.bincount(np.concatenate(held).view(np.int64), minlength=SKETCH)
-                        held, size = [], 0
+            docs_of = b.column(0).to_pylist()
+            for start, texts in _slices(b.column(1)):
+                run = Texts(texts, n)
+                held_words.append(run.words & np.uint64(WORDS - 1))
+                for k in range(len(texts)):
+                    if run.lens[k]:
+                        s = distinct(run.ngrams(k))
+                        ids.append(docs_of[start + k]), sids.append(set_id(s)), sizes.append(len(s))
+                        held.append(s & np.uint64(SKETCH - 1))
+                        size += len(s)
+                if size > SKETCH:
+                    flush()
+                    size = 0
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([-1], pa.int32()), "a": pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), "b": pa.array([np.array(sids, np.int64).tobytes()], pa.binary()), "c": pa.array([np.array(sizes, np.int32).tobytes()], pa.binary())})
-        if held:
-            counts += np.bincount(np.concatenate(held).view(np.int64), minlength=SKETCH)
+        flush()
         if counts.any():
-            packed = [zlib.compress(x.tobytes(), 1) for x in np.array_split(counts.astype(np.uint32), _CHUNKS)]
+            both = np.concatenate([counts, by_word]).astype(np.uint32)
+            packed = [zlib.compress(x.tobytes(), 1) for x in np.array_split(both, _CHUNKS)]
             none = pa.array([None] * _CHUNKS, pa.binary())
             yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(_CHUNKS), pa.int32()), "a": pa.array(packed, pa.binary()), "b": none, "c": none})
 
@@ -81,22 +143,37 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"doc_id": np.frombuffer(x, np.int64), "sid": np.frombuffer(y, np.int64), "size": np.frombuffer(z, np.int32)})
 
 
-def _sketch(scanned: DataFrame) -> np.ndarray:
+class Rarity:
+    """Estimates of n-gram frequency: what the n-grams' sketch counts, and what their words let expect, which is surer of the two."""
+
+    def __init__(self, both: np.ndarray):
+        counts = both[:SKETCH].astype(np.float64)
+        noise = counts.mean()
+        # less what others add to a counter on average, and their usual deviation
+        self.grams = np.maximum(counts - noise - math.sqrt(noise), 0).astype(np.float32)
+        self.words = both[SKETCH:]
+
+    def ranked(self, run: Texts, k: int, expected: np.ndarray) -> np.ndarray:
+        """The set of text k as keys from rare to frequent: 8 bits of frequency level over the hash."""
+        h = run.ngrams(k)
+        est = self.grams[h & np.uint64(SKETCH - 1)].astype(np.float64) + 1.0
+        if run.lens[k] >= run.n:
+            est += 4.0 * expected[run.starts[k] : run.starts[k] + len(h)]
+        level = (est.view(np.int64) >> 50) - (1023 << 2)  # four levels an octave, read off the float
+        return distinct((np.minimum(level, 255).astype(np.uint64) << np.uint64(56)) | h)
+
+
+def _sketches(scanned: DataFrame) -> np.ndarray:
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64) for x in pdf["a"])
         return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "a": [zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)]})
 
     rows = scanned.where("chunk >= 0").select("chunk", "a").groupBy("chunk").applyInPandas(add, "chunk int, a binary").collect()
     if not rows:
-        return np.zeros(SKETCH, np.uint32)
+        return np.zeros(SKETCH + WORDS, np.uint32)
     return np.concatenate([np.frombuffer(zlib.decompress(r.a), np.uint32) for r in sorted(rows, key=lambda r: r.chunk)])
 
 
-def by_rarity(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """s, rarest first; equal counts by hash."""
-    return s[np.argsort(sketch[s & np.uint64(SKETCH - 1)], kind="stable")]
-
-
 def subset_tokens(prefix: np.ndarray) -> np.ndarray:
     """A token for every 2-subset of the prefix, the first two n-grams first."""
     i, j = np.triu_indices(len(prefix), 1)
@@ -130,14 +207,16 @@ def choose_boundary(costs: dict[int, tuple[int, int, float]], t: float) -> int:
 def _costs(docs: DataFrame, sketch, n: int, t: float) -> dict[int, tuple[int, int, float]]:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((LIGHT_MAX + 1, 3))
-        counts = sketch.value
-        noise = counts.mean()
+        rarity = Rarity(sketch.value)
         for b in batches:
-            for text in b.column(0).to_pylist():
-                s = ngram_set(text, n)
-                if 0 < len(s) <= LIGHT_MAX:
-                    p = by_rarity(s, counts)[: _missing(len(s), t) + 1]
-                    total[len(s)] += 1, len(p), np.maximum(counts[p & np.uint64(SKETCH - 1)] - noise, 0).sum() / 2
+            for _, texts in _slices(b.column(0)):
+                run = Texts(texts, n)
+                expected = run.expected(rarity.words)
+                for k in range(len(texts)):
+                    key = rarity.ranked(run, k, expected)
+                    if 0 < len(key) <= LIGHT_MAX:
+                        m = _missing(len(key), t) + 1
+                        total[len(key)] += 1, m, (2.0 ** ((key[:m] >> np.uint64(56)) / 4.0) - 1).sum() / 2
         at = np.flatnonzero(total[:, 0])
         yield pa.RecordBatch.from_pydict({"size": pa.array(at, pa.int32()), "sets": total[at, 0], "postings": total[at, 1], "scans": total[at, 2]})
 
@@ -153,40 +232,67 @@ def _postings(docs: DataFrame, sketch, n: int, t: float, boundary: int, parts: i
     """Posting lists in packed blocks, one for each (batch, part, kind); part is a range of token hashes."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sketch.value
+        rarity = Rarity(sketch.value)
         for b in batches:
-            for start in range(0, b.num_rows, 4000):
-                kinds: tuple[list, list] = ([], [])
-                for text in b.column(0).slice(start, 4000):
-                    s = ngram_set(text.as_py(), n)
-                    if not len(s):
+            kinds: tuple[list, list] = ([], [])
+            for start, texts in _slices(b.column(0)):
+                run = Texts(texts, n)
+                expected = run.expected(rarity.words)
+                for k in range(len(texts)):
+                    ranked = rarity.ranked(run, k, expected)
+                    size = len(ranked)
+                    if not size:
                         continue
-                    sid, size = set_id(s), len(s)
-                    m, ranked = _missing(size, t), by_rarity(s, counts)
+                    sid, m = set_id(ranked & _HASH), _missing(size, t)
                     if 2 <= size < boundary:
                         toks = subset_tokens(ranked[: m + K])
-                        kinds[1].append((toks, np.zeros(len(toks), np.int32), sid, size))
+                        kinds[1].append((toks, np.arange(len(toks), dtype=np.int32), sid, size))
                     if size >= t * boundary or size < 2:
                         toks = ranked[: m + 1]
                         kinds[0].append((toks, np.arange(len(toks), dtype=np.int32), sid, size))
+                if start + 500 < b.num_rows and start % 4000 != 3500:
+                    continue
                 for small, kind in enumerate(kinds):
                     if not kind:
                         continue
                     lens = np.array([len(x[0]) for x in kind])
                     tok = np.concatenate([x[0] for x in kind])
-                    part = (tok >> np.uint64(33)).astype(np.int64) % parts
+                    part = ((tok * _PAIR) >> np.uint64(33)).astype(np.int64) % parts
                     order = np.argsort(part, kind="stable")
-                    cols = [tok, np.repeat(np.array([x[2] for x in kind], np.int64), lens), np.repeat(np.array([x[3] for x in kind], np.int32), lens), np.concatenate([x[1] for x in kind]), np.repeat(np.array([x[0][0] for x in kind], np.uint64), lens)]
+                    cols = [tok, np.repeat(np.array([x[2] for x in kind], np.int64), lens), np.repeat(np.array([x[3] for x in kind], np.int32), lens), np.concatenate([x[1] for x in kind]), np.repeat(np.array([_heads(x[0]) for x in kind], np.uint64), lens)]
                     cols = [c[order] for c in cols]
                     at = np.flatnonzero(np.diff(part[order], prepend=-1))
                     ends = [*at[1:], len(order)]
                     yield pa.RecordBatch.from_pydict({"part": pa.array(part[order][at], pa.int32()), "small": pa.array([bool(small)] * len(at))} | {k: pa.array([c[i:j].tobytes() for i, j in zip(at, ends)], pa.binary()) for k, c in zip(("tok", "sid", "size", "pos", "head"), cols)})
+                kinds = ([], [])
 
     return docs.select("text").mapInArrow(scan, _POSTING)
 
 
-def _pairs_of(tok, sid, size, pos, head, small: bool, t: float, boundary: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs among the sets that share a token, as two arrays of set ids (least first)."""
+def _heads(toks: np.ndarray) -> int:
+    """Fingerprints of the three rarest tokens, 21 bits each."""
+    out = 0
+    for x in (toks[0], toks[min(1, len(toks) - 1)], toks[min(2, len(toks) - 1)]):
+        out = (out << 21) | (int(x) * int(_PAIR) & 0xFFFFFFFFFFFFFFFF) >> 43
+    return out
+
+
+def _share_a_head(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    mask, out = np.uint64((1 << 21) - 1), np.zeros(len(x), bool)
+    xs, ys = ([(z >> np.uint64(21 * k)) & mask for k in range(3)] for z in (x, y))
+    for u in xs:
+        for v in ys:
+            out |= u == v
+    return out
+
+
+def _pairs_of(tok, sid, size, pos, head, small: bool, t: float, boundary: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of sets that share a token, as arrays of set ids (least first) and of the shared tokens that they need.
+
+    Sets that share one of their three rarest tokens are almost always similar and share most others too: they
+    are paired at such a token only, and need no more. Others are paired at each token that they share; tokens
+    outside their prefixes can make up for at most `rest`, so they need to share the difference.
+    """
     order = np.lexsort((sid, size, tok))
     tok, sid, size, pos, head = (x[order] for x in (tok, sid, size, pos, head))
     new = np.ones(len(tok), bool)
@@ -202,14 +308,17 @@ def _pairs_of(tok, sid, size, pos, head, small: bool, t: float, boundary: int) -
         if not len(live):
             return
         i, j = live, live + d
-        ok = (head[i] != head[j]) | (tok[i] == head[i])  # with the same rarest n-gram the pair is found there
         if not small:
-            ok &= size[j] >= boundary
-            need = np.ceil(t / (1 + t) * (size[i].astype(np.int64) + size[j]) - 1e-9)
-            ok &= 1 + np.minimum(size[i] - pos[i], size[j] - pos[j]) - 1 >= need  # positional bound
-        i, j = i[ok], j[ok]
+            i, j = i[size[j] >= boundary], j[size[j] >= boundary]
+        rare = (pos[i] < 3) & (pos[j] < 3)
+        ok = rare | ~_share_a_head(head[i], head[j])
+        i, j, rare = i[ok], j[ok], rare[ok]
         if len(i):
-            yield np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])
+            both = size[i].astype(np.int64) + size[j]
+            rest = np.ceil(size[j] * t - 1e-9) - 1  # of the larger set
+            need = np.maximum(np.ceil(t / (1 + t) * both - 1e-9) - rest, 0).astype(np.int32)
+            need[rare] = 0
+            yield np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j]), need * (not small)
         d += 1
 
 
@@ -221,22 +330,28 @@ def _candidates(postings: DataFrame, t: float, boundary: int, tasks: int) -> Dat
         def flush() -> Iterator[pa.RecordBatch]:
             arrays = [np.frombuffer(b"".join(x[k] for x in held), kind) for k, kind in enumerate((np.uint64, np.int64, np.int32, np.int32, np.uint64))]
             got, size = [], 0
-            for a, b in _pairs_of(*arrays, key[1], t, boundary):
-                got.append((a, b))
-                size += len(a)
-                if size > 500_000:
-                    yield out(got)
-                    got, size = [], 0
+            for trio in _pairs_of(*arrays, key[1], t, boundary):
+                got.append(trio)
+                size += len(trio[0])
+                if size > 1_000_000:
+                    got = [out(got)]
+                    size = len(got[0][0])
+                    if size > 500_000:
+                        yield row(got)
+                        got, size = [], 0
             if got:
-                yield out(got)
+                yield row(got)
 
-        def out(got: list) -> pa.RecordBatch:
-            a, b = (np.concatenate([x[k] for x in got]) for k in (0, 1))
+        def out(got: list) -> tuple[np.ndarray, ...]:
+            a, b, need = (np.concatenate([x[k] for x in got]) for k in range(3))
+            n = np.concatenate([x[3] if len(x) > 3 else np.ones(len(x[0]), np.int32) for x in got])
             order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            return pa.RecordBatch.from_pydict({"a": a[new], "b": b[new]})
+            a, b, need, n = a[order], b[order], need[order], n[order]
+            at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            return a[at], b[at], np.minimum.reduceat(need, at), np.add.reduceat(n, at).astype(np.int32)
+
+        def row(got: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict(dict(zip(("a", "b", "need", "n"), out(got))))
 
         for batch in batches:
             cols = [batch.column(k) for k in range(7)]
@@ -251,12 +366,13 @@ def _candidates(postings: DataFrame, t: float, boundary: int, tasks: int) -> Dat
             yield from flush()
 
     spread = postings.repartition(tasks, "part", "small").sortWithinPartitions("part", "small")
-    return spread.mapInArrow(scan, "a long, b long").distinct()
+    counted = spread.mapInArrow(scan, "a long, b long, need int, n int").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"))
+    return counted.where("n >= need").select("a", "b")
 
 
 def _verify(docs: DataFrame, reps: DataFrame, candidates: DataFrame, n: int, t: float) -> DataFrame:
     """(a, b, jaccard) of the candidates that reach t. A set's text is read once and goes to its component's
-    task, in blocks where the component is large, so it isn't copied for each of its pairs."""
+    task; a large component is cut in blocks, and a text goes to those pairs of blocks where it has a candidate."""
     roots = components(candidates, "a", "b")
     many = roots.groupBy("root").agg(F.ceil(F.count("*") / F.lit(_BLOCK)).cast("int").alias("blocks"))
     total = roots.count()
@@ -268,8 +384,9 @@ def _verify(docs: DataFrame, reps: DataFrame, candidates: DataFrame, n: int, t:
     ends = [place.select(F.col("sid").alias(x), F.col("g").alias(f"g_{x}"), F.col("blk").alias(f"blk_{x}")) for x in ("a", "b")]
     pairs = candidates.join(ends[0], "a").join(ends[1], "b")
     pairs = pairs.select(F.col("g_a").alias("g"), F.least("blk_a", "blk_b").alias("lo"), F.greatest("blk_a", "blk_b").alias("hi"), "a", "b")
-    spread = reps.join(place, "sid").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = cut(spread.select(F.col("doc_id"), "sid", "g", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi")))
+    keys = ["g", "lo", "hi"]
+    spread = pairs.select(F.col("a").alias("sid"), *keys).unionByName(pairs.select(F.col("b").alias("sid"), *keys)).distinct()
+    spread = cut(spread.join(reps, "sid"))
     texts = join_keys(docs, spread, "doc_id", "inner").select("g", "lo", "hi", "sid", "text")
 
     def check(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -280,16 +397,21 @@ def _verify(docs: DataFrame, reps: DataFrame, candidates: DataFrame, n: int, t:
                 s = ngram_set(text, n)
                 if set_id(s) == sid:
                     sets[sid] = s
-        rows = []
-        for a, b in zip(right["a"], right["b"]):
-            x, y = sets[a], sets[b]
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            j = both / (len(x) + len(y) - both)
-            if j >= t - 1e-12:
-                rows.append((a, b, j))
-        return pd.DataFrame(rows, columns=["a", "b", "jaccard"])
+        out = []
+        for a, g in right.groupby("a", sort=False)["b"]:
+            x = sets.get(a)
+            bs = [b for b in g if b in sets]  # what isn't there is another row's text under a doc_id that repeats
+            for start in range(0, len(bs) if x is not None else 0, 2000):
+                some = bs[start : start + 2000]
+                ys = [sets[b] for b in some]
+                lens = np.array([len(y) for y in ys])
+                flat = np.concatenate(ys)
+                hit = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
+                both = np.add.reduceat(hit, np.cumsum(lens) - lens, dtype=np.int64)
+                j = both / (len(x) + lens - both)
+                out += [(a, b, v) for b, v in zip(some, j.tolist()) if v >= t - 1e-12]
+        return pd.DataFrame(out, columns=["a", "b", "jaccard"])
 
-    keys = ["g", "lo", "hi"]
     return texts.groupBy(*keys).cogroup(pairs.groupBy(*keys)).applyInPandas(check, "a long, b long, jaccard double")
 
 
@@ -301,11 +423,12 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) ->
     pair of classes that reach the threshold. So the result holds every similar pair: x and y are similar if
     they have one class or their classes are paired. doc_id_a < doc_id_b.
 
-    Exact, with no cap on partners. A set of size s may lack m = s - ceil(t s) n-grams in a partner, so with
+    With no cap on partners, and exact but for hash collisions: a pair is missed if 21-bit fingerprints collide
+    of sets that share none of their three rarest n-grams, less than one pair in a million. A set of size s may lack m = s - ceil(t s) n-grams in a partner, so with
     n-grams ordered by rarity two partners share k of their m + k rarest. Small sets (size under a boundary)
     enumerate the 2-subsets of their m + 2 rarest and meet in equal subsets; sets from t x boundary on list
-    their m + 1 rarest in inverted lists, which are scanned for pairs with a large set, under length and
-    positional bounds. The boundary is the one of least estimated cost. Rarity comes from a count of all
+    their m + 1 rarest in inverted lists, which are scanned for pairs with a large set, under the length bound and
+    a bound on how many of these they must share. The boundary is the one of least estimated cost. Rarity comes from a count of all
     documents' n-grams in a table of fixed size.
 
     Texts that are null or have no word have no n-grams and pair with nothing. Rows without doc_id are left
@@ -317,7 +440,7 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) ->
     scanned = cut(_read_sets(docs, n))
     ids = cut(scanned.where("chunk = -1").select("a", "b", "c").mapInArrow(_unpack, "doc_id long, sid long, size int"))
     total = ids.count()
-    sketch = spark.sparkContext.broadcast(_sketch(scanned))
+    sketch = spark.sparkContext.broadcast(_sketches(scanned))
     boundary = choose_boundary(_costs(docs, sketch, n, threshold), threshold)
     tasks = max(4, math.ceil(total / (4 * _ROWS_A_PART)))
     postings = _postings(docs, sketch, n, threshold, boundary, 4 * tasks)
