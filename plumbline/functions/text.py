@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-STOPWORDS = frozenset(
-    "a an and are at by did do does for from how in is it of on or s that the to was were what when where which who with".split()
-)
+_ARTICLES, _VERBS = "the a an that", "is was were are do does did"
+_SMALL, _ASKING = "of in on at to by for from with and or s it", "who what which where when how"
+STOPWORDS = frozenset(" ".join((_ARTICLES, _VERBS, _SMALL, _ASKING)).split())
 SPLIT = r"[^\p{L}\p{N}]+"
 MAX_SPAN_TOKENS = 4
 
