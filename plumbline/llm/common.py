@@ -48,7 +48,7 @@ def join_keys(df: DataFrame, keys: DataFrame, on: str, how: str, max_rows: int =
 class WordHashes(dict):
     """word -> 64-bit hash, filled on demand, emptied when it gets large."""
 
-    def __init__(self, most: int = 600_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

@@ -27,9 +27,11 @@ LIGHT_MAX = 40
 #: Counters of the n-gram sketch and of the word sketch that estimate how rare an n-gram is. The estimate is the
 #: same for all documents, so the join is exact whatever collides.
 SKETCH, WORDS = 1 << 22, 1 << 18
-_CHUNKS = 16
+_CHUNKS, _BITS = 16, 1024
+#: Least number of token ranges: above a few per n-gram of a set's prefix, posting blocks look alike at every size.
+_LEAST_PARTS = 192
 _ROWS_A_PART = 1_500
-_BLOCK = 2_000
+_BLOCK = 1_000
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 _SID = np.uint64(0x9FB21C651E98DF25)
 _HASH = np.uint64((1 << 56) - 1)
@@ -77,6 +79,11 @@ def ngram_set(text: str | None, n: int = N) -> np.ndarray:
     return distinct(Texts([text], n).ngrams(0))
 
 
+def parity(s: np.ndarray) -> bytes:
+    """1024 bits, each the parity of how many n-grams hash to it: two sets differ in as many n-grams, at least, as bits."""
+    return np.packbits(np.bincount((s >> np.uint64(40)).view(np.int64) & (_BITS - 1), minlength=_BITS) & 1).tobytes()
+
+
 def set_id(s: np.ndarray) -> int:
     """A hash of a set of distinct n-gram hashes, in any order."""
     with np.errstate(over="ignore"):
@@ -99,20 +106,20 @@ def _read_sets(docs: DataFrame, n: int) -> DataFrame:
     """One pass over the text: chunks of the sketches (chunk >= 0) and packed ids of the sets (chunk = -1)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, by_word = np.zeros(SKETCH, np.int64), np.zeros(WORDS, np.int64)
+        counts, by_word = np.zeros(SKETCH, np.uint32), np.zeros(WORDS, np.int64)
         held: list[np.ndarray] = []
         held_words: list[np.ndarray] = []
 
         def flush() -> None:
-            nonlocal counts, by_word, held, held_words
+            nonlocal by_word, held, held_words
             if held:
-                counts += np.bincount(np.concatenate(held).view(np.int64), minlength=SKETCH)
+                np.add(counts, np.bincount(np.concatenate(held).view(np.int64), minlength=SKETCH), out=counts, casting="unsafe")
                 by_word += np.bincount(np.concatenate(held_words).view(np.int64), minlength=WORDS)
             held, held_words = [], []
 
         size = 0
         for b in batches:
-            ids, sids, sizes = [], [], []
+            ids, sids, sizes, bits = [], [], [], []
             docs_of = b.column(0).to_pylist()
             for start, texts in _slices(b.column(1)):
                 run = Texts(texts, n)
@@ -120,37 +127,39 @@ def _read_sets(docs: DataFrame, n: int) -> DataFrame:
                 for k in range(len(texts)):
                     if run.lens[k]:
                         s = distinct(run.ngrams(k))
-                        ids.append(docs_of[start + k]), sids.append(set_id(s)), sizes.append(len(s))
+                        ids.append(docs_of[start + k]), sids.append(set_id(s)), sizes.append(len(s)), bits.append(parity(s))
                         held.append(s & np.uint64(SKETCH - 1))
                         size += len(s)
-                if size > SKETCH:
+                if size > SKETCH >> 2:
                     flush()
                     size = 0
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([-1], pa.int32()), "a": pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), "b": pa.array([np.array(sids, np.int64).tobytes()], pa.binary()), "c": pa.array([np.array(sizes, np.int32).tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([-1], pa.int32()), "a": pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), "b": pa.array([np.array(sids, np.int64).tobytes()], pa.binary()), "c": pa.array([np.array(sizes, np.int32).tobytes()], pa.binary()), "d": pa.array([b"".join(bits)], pa.binary())})
         flush()
         if counts.any():
-            both = np.concatenate([counts, by_word]).astype(np.uint32)
+            both = np.concatenate([counts, by_word.astype(np.uint32)])
             packed = [zlib.compress(x.tobytes(), 1) for x in np.array_split(both, _CHUNKS)]
             none = pa.array([None] * _CHUNKS, pa.binary())
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(_CHUNKS), pa.int32()), "a": pa.array(packed, pa.binary()), "b": none, "c": none})
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(_CHUNKS), pa.int32()), "a": pa.array(packed, pa.binary()), "b": none, "c": none, "d": none})
 
-    return docs.mapInArrow(scan, "chunk int, a binary, b binary, c binary")
+    return docs.mapInArrow(scan, "chunk int, a binary, b binary, c binary, d binary")
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for x, y, z in zip(*(b.column(k).to_pylist() for k in range(3))):
-            yield pa.RecordBatch.from_pydict({"doc_id": np.frombuffer(x, np.int64), "sid": np.frombuffer(y, np.int64), "size": np.frombuffer(z, np.int32)})
+        for x, y, z, d in zip(*(b.column(k).to_pylist() for k in range(4))):
+            step = _BITS // 8
+            yield pa.RecordBatch.from_pydict({"doc_id": np.frombuffer(x, np.int64), "sid": np.frombuffer(y, np.int64), "size": np.frombuffer(z, np.int32), "bits": pa.array([d[k : k + step] for k in range(0, len(d), step)], pa.binary())})
 
 
 class Rarity:
     """Estimates of n-gram frequency: what the n-grams' sketch counts, and what their words let expect, which is surer of the two."""
 
     def __init__(self, both: np.ndarray):
-        counts = both[:SKETCH].astype(np.float64)
-        noise = counts.mean()
+        noise = float(both[:SKETCH].mean(dtype=np.float64))
         # less what others add to a counter on average, and their usual deviation
-        self.grams = np.maximum(counts - noise - math.sqrt(noise), 0).astype(np.float32)
+        self.grams = both[:SKETCH].astype(np.float32)
+        self.grams -= np.float32(noise + math.sqrt(noise))
+        np.maximum(self.grams, 0, out=self.grams)
         self.words = both[SKETCH:]
 
     def ranked(self, run: Texts, k: int, expected: np.ndarray) -> np.ndarray:
@@ -270,28 +279,25 @@ def _postings(docs: DataFrame, sketch, n: int, t: float, boundary: int, parts: i
 
 
 def _heads(toks: np.ndarray) -> int:
-    """Fingerprints of the three rarest tokens, 21 bits each."""
+    """32-bit fingerprints of the two rarest tokens."""
     out = 0
-    for x in (toks[0], toks[min(1, len(toks) - 1)], toks[min(2, len(toks) - 1)]):
-        out = (out << 21) | (int(x) * int(_PAIR) & 0xFFFFFFFFFFFFFFFF) >> 43
+    for x in (toks[0], toks[min(1, len(toks) - 1)]):
+        out = (out << 32) | (int(x) * int(_PAIR) & 0xFFFFFFFFFFFFFFFF) >> 32
     return out
 
 
 def _share_a_head(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    mask, out = np.uint64((1 << 21) - 1), np.zeros(len(x), bool)
-    xs, ys = ([(z >> np.uint64(21 * k)) & mask for k in range(3)] for z in (x, y))
-    for u in xs:
-        for v in ys:
-            out |= u == v
-    return out
+    half, low = np.uint64(32), np.uint64(0xFFFFFFFF)
+    x1, x2, y1, y2 = x >> half, x & low, y >> half, y & low
+    return (x1 == y1) | (x1 == y2) | (x2 == y1) | (x2 == y2)
 
 
 def _pairs_of(tok, sid, size, pos, head, small: bool, t: float, boundary: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs of sets that share a token, as arrays of set ids (least first) and of the shared tokens that they need.
+    """Pairs of sets that share a token, as arrays of set ids (least first) and whether they are doubtful.
 
-    Sets that share one of their three rarest tokens are almost always similar and share most others too: they
-    are paired at such a token only, and need no more. Others are paired at each token that they share; tokens
-    outside their prefixes can make up for at most `rest`, so they need to share the difference.
+    Sets that share one of their two rarest tokens are almost always similar and share most others too: they are
+    paired at such a token only. Others are paired at each shared token where the positional bound holds, which
+    it does at the first token that similar sets share, and they are doubtful.
     """
     order = np.lexsort((sid, size, tok))
     tok, sid, size, pos, head = (x[order] for x in (tok, sid, size, pos, head))
@@ -310,15 +316,14 @@ def _pairs_of(tok, sid, size, pos, head, small: bool, t: float, boundary: int) -
         i, j = live, live + d
         if not small:
             i, j = i[size[j] >= boundary], j[size[j] >= boundary]
-        rare = (pos[i] < 3) & (pos[j] < 3)
+        rare = (pos[i] < 2) & (pos[j] < 2)
         ok = rare | ~_share_a_head(head[i], head[j])
+        if not small:
+            need = np.ceil(t / (1 + t) * (size[i].astype(np.int64) + size[j]) - 1e-9)
+            ok &= rare | (np.minimum(size[i] - pos[i], size[j] - pos[j]) >= need)
         i, j, rare = i[ok], j[ok], rare[ok]
         if len(i):
-            both = size[i].astype(np.int64) + size[j]
-            rest = np.ceil(size[j] * t - 1e-9) - 1  # of the larger set
-            need = np.maximum(np.ceil(t / (1 + t) * both - 1e-9) - rest, 0).astype(np.int32)
-            need[rare] = 0
-            yield np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j]), need * (not small)
+            yield np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j]), ~rare
         d += 1
 
 
@@ -343,15 +348,14 @@ def _candidates(postings: DataFrame, t: float, boundary: int, tasks: int) -> Dat
                 yield row(got)
 
         def out(got: list) -> tuple[np.ndarray, ...]:
-            a, b, need = (np.concatenate([x[k] for x in got]) for k in range(3))
-            n = np.concatenate([x[3] if len(x) > 3 else np.ones(len(x[0]), np.int32) for x in got])
-            order = np.lexsort((b, a))
-            a, b, need, n = a[order], b[order], need[order], n[order]
+            a, b, weak = (np.concatenate([x[k] for x in got]) for k in range(3))
+            order = np.lexsort((weak, b, a))  # a pair that is seen without doubt has none
+            a, b, weak = a[order], b[order], weak[order]
             at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-            return a[at], b[at], np.minimum.reduceat(need, at), np.add.reduceat(n, at).astype(np.int32)
+            return a[at], b[at], weak[at]
 
         def row(got: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict(dict(zip(("a", "b", "need", "n"), out(got))))
+            return pa.RecordBatch.from_pydict(dict(zip(("a", "b", "weak"), out(got))))
 
         for batch in batches:
             cols = [batch.column(k) for k in range(7)]
@@ -366,8 +370,25 @@ def _candidates(postings: DataFrame, t: float, boundary: int, tasks: int) -> Dat
             yield from flush()
 
     spread = postings.repartition(tasks, "part", "small").sortWithinPartitions("part", "small")
-    counted = spread.mapInArrow(scan, "a long, b long, need int, n int").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"))
-    return counted.where("n >= need").select("a", "b")
+    return spread.mapInArrow(scan, "a long, b long, weak boolean").groupBy("a", "b").agg(F.min("weak").alias("weak"))
+
+
+def _plausible(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
+    """Doubtful pairs whose parities differ in no more bits than similar sets of their sizes may differ in n-grams."""
+    ends = [sets.select(F.col("sid").alias(x), F.col("size").alias(f"size_{x}"), F.col("bits").alias(f"bits_{x}")) for x in ("a", "b")]
+    j = pairs.join(ends[0], "a").join(ends[1], "b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ones = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(b.num_rows, -1) for k in (3, 5))
+            total = b.column(2).to_numpy().astype(np.int64) + b.column(4).to_numpy()
+            ok = ones[x ^ y].sum(1) <= (1 - t) / (1 + t) * total + 1e-9
+            yield pa.RecordBatch.from_pydict({"a": b.column(0).filter(pa.array(ok)), "b": b.column(1).filter(pa.array(ok))})
+
+    return j.select("a", "b", "size_a", "bits_a", "size_b", "bits_b").mapInArrow(check, "a long, b long")
 
 
 def _verify(docs: DataFrame, reps: DataFrame, candidates: DataFrame, n: int, t: float) -> DataFrame:
@@ -423,12 +444,12 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) ->
     pair of classes that reach the threshold. So the result holds every similar pair: x and y are similar if
     they have one class or their classes are paired. doc_id_a < doc_id_b.
 
-    With no cap on partners, and exact but for hash collisions: a pair is missed if 21-bit fingerprints collide
-    of sets that share none of their three rarest n-grams, less than one pair in a million. A set of size s may lack m = s - ceil(t s) n-grams in a partner, so with
+    With no cap on partners, and exact but for hash collisions: a pair is missed if 32-bit fingerprints collide
+    of sets that share neither of their two rarest n-grams, less than one pair in a billion. A set of size s may lack m = s - ceil(t s) n-grams in a partner, so with
     n-grams ordered by rarity two partners share k of their m + k rarest. Small sets (size under a boundary)
     enumerate the 2-subsets of their m + 2 rarest and meet in equal subsets; sets from t x boundary on list
-    their m + 1 rarest in inverted lists, which are scanned for pairs with a large set, under the length bound and
-    a bound on how many of these they must share. The boundary is the one of least estimated cost. Rarity comes from a count of all
+    their m + 1 rarest in inverted lists, which are scanned for pairs with a large set, under length and
+    positional bounds; pairs that share neither of their rarest n-grams must also pass a bitmap bound. The boundary is the one of least estimated cost. Rarity comes from a count of all
     documents' n-grams in a table of fixed size.
 
     Texts that are null or have no word have no n-grams and pair with nothing. Rows without doc_id are left
@@ -438,14 +459,16 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) ->
     spark = docs.sparkSession
     docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scanned = cut(_read_sets(docs, n))
-    ids = cut(scanned.where("chunk = -1").select("a", "b", "c").mapInArrow(_unpack, "doc_id long, sid long, size int"))
+    ids = cut(scanned.where("chunk = -1").select("a", "b", "c", "d").mapInArrow(_unpack, "doc_id long, sid long, size int, bits binary"))
     total = ids.count()
     sketch = spark.sparkContext.broadcast(_sketches(scanned))
     boundary = choose_boundary(_costs(docs, sketch, n, threshold), threshold)
     tasks = max(4, math.ceil(total / (4 * _ROWS_A_PART)))
-    postings = _postings(docs, sketch, n, threshold, boundary, 4 * tasks)
-    candidates = cut(_candidates(postings, threshold, boundary, tasks))
-    reps = cut(ids.groupBy("sid").agg(F.min("doc_id").alias("doc_id")))
+    postings = _postings(docs, sketch, n, threshold, boundary, max(_LEAST_PARTS, 4 * tasks))
+    seen = cut(_candidates(postings, threshold, boundary, tasks))
+    sets = cut(ids.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bits").alias("bits")))
+    reps = sets.select("sid", "doc_id")
+    candidates = cut(seen.where("not weak").select("a", "b").unionByName(_plausible(seen.where("weak").select("a", "b"), sets, threshold)))
     found = _verify(docs, reps, candidates, n, threshold)
     a, b = reps.select(F.col("sid").alias("a"), F.col("doc_id").alias("x")), reps.select(F.col("sid").alias("b"), F.col("doc_id").alias("y"))
     near = found.join(a, "a").join(b, "b").where("x <> y")

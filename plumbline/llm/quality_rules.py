@@ -30,7 +30,7 @@ class _Md5(dict):
     """token -> the first 28 bits of its md5."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 600_000:
+        if len(self) >= 200_000:
             self.clear()
         h = self[token] = int(hashlib.md5(token.encode("utf-8", "surrogatepass")).hexdigest()[:7], 16)
         return h
