@@ -27,7 +27,7 @@ LIGHT_MAX = 40
 #: Counters of the n-gram sketch and of the word sketch that estimate how rare an n-gram is. The estimate is the
 #: same for all documents, so the join is exact whatever collides.
 SKETCH, WORDS = 1 << 22, 1 << 18
-_CHUNKS, _BITS = 16, 1024
+_CHUNKS, _BITS = 16, 4096
 #: Least number of token ranges: above a few per n-gram of a set's prefix, posting blocks look alike at every size.
 _LEAST_PARTS = 192
 _ROWS_A_PART = 1_500
@@ -79,9 +79,23 @@ def ngram_set(text: str | None, n: int = N) -> np.ndarray:
     return distinct(Texts([text], n).ngrams(0))
 
 
+def _parity_bits(size: int) -> int:
+    """Twice the set's size and up, a power of two, within bounds."""
+    return min(max(1 << (2 * size - 1).bit_length(), 256), _BITS)
+
+
 def parity(s: np.ndarray) -> bytes:
-    """1024 bits, each the parity of how many n-grams hash to it: two sets differ in as many n-grams, at least, as bits."""
-    return np.packbits(np.bincount((s >> np.uint64(40)).view(np.int64) & (_BITS - 1), minlength=_BITS) & 1).tobytes()
+    """A bit for each residue of the n-grams' hashes: the parity of how many fall on it. So two sets differ in as
+    many n-grams, at least, as bits; a longer bitmap folds to a shorter one by xor."""
+    bits = _parity_bits(len(s))
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).view(np.int64), minlength=bits) & 1).tobytes()
+
+
+def _fold(rows: np.ndarray, width: int) -> np.ndarray:
+    while rows.shape[1] > width:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
 
 
 def set_id(s: np.ndarray) -> int:
@@ -147,8 +161,9 @@ def _read_sets(docs: DataFrame, n: int) -> DataFrame:
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for x, y, z, d in zip(*(b.column(k).to_pylist() for k in range(4))):
-            step = _BITS // 8
-            yield pa.RecordBatch.from_pydict({"doc_id": np.frombuffer(x, np.int64), "sid": np.frombuffer(y, np.int64), "size": np.frombuffer(z, np.int32), "bits": pa.array([d[k : k + step] for k in range(0, len(d), step)], pa.binary())})
+            sizes = np.frombuffer(z, np.int32)
+            ends = np.cumsum([0, *(_parity_bits(int(k)) // 8 for k in sizes)])
+            yield pa.RecordBatch.from_pydict({"doc_id": np.frombuffer(x, np.int64), "sid": np.frombuffer(y, np.int64), "size": sizes, "bits": pa.array([d[i:j] for i, j in zip(ends, ends[1:])], pa.binary())})
 
 
 class Rarity:
@@ -383,9 +398,15 @@ def _plausible(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(b.num_rows, -1) for k in (3, 5))
+            xs, ys = b.column(3).to_pylist(), b.column(5).to_pylist()
+            widths = np.array([(len(x), len(y)) for x, y in zip(xs, ys)])
+            differ = np.zeros(b.num_rows, np.int64)
+            for p, q in np.unique(widths, axis=0):
+                at = np.flatnonzero((widths == (p, q)).all(1))
+                x, y = (np.frombuffer(b"".join(z[k] for k in at), np.uint8).reshape(len(at), -1) for z in (xs, ys))
+                differ[at] = ones[_fold(x, min(p, q)) ^ _fold(y, min(p, q))].sum(1)
             total = b.column(2).to_numpy().astype(np.int64) + b.column(4).to_numpy()
-            ok = ones[x ^ y].sum(1) <= (1 - t) / (1 + t) * total + 1e-9
+            ok = differ <= (1 - t) / (1 + t) * total + 1e-9
             yield pa.RecordBatch.from_pydict({"a": b.column(0).filter(pa.array(ok)), "b": b.column(1).filter(pa.array(ok))})
 
     return j.select("a", "b", "size_a", "bits_a", "size_b", "bits_b").mapInArrow(check, "a long, b long")
