@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import math
 import re
+import shutil
+import tempfile
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,12 +23,17 @@ from plumbline.llm.common import join_keys
 
 #: A token is a run of word characters or a run of other visible characters, as written.
 TOKEN = re.compile(r"\w+|[^\w\t\n\f\r ]+")
+#: Least number of buckets of the table, and most features a bucket before the table gets larger.
 BUCKETS = 1 << 18
+LOAD = 64
+#: Buckets that are summed at once.
+CHUNK = 1 << 18
 _MUL = 1_000_003
 #: Micro-nats a feature; below it a document goes.
 THRESHOLD = -250_000
 ALPHA = 1.0
-_CHUNKS = 16
+#: Features, and then distinct ones, that a task holds.
+_HELD = 2_000_000
 
 
 class _Md5(dict):
@@ -48,76 +58,131 @@ def features(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
     return np.concatenate([h % buckets, pairs])
 
 
-def ngram_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """Feature counts of (all documents, trusted documents): two arrays of fixed length buckets + 1.
+def feature_totals(flagged: DataFrame) -> tuple[int, int]:
+    """Features of (all documents, trusted documents), counted by a pass over the texts. flagged: text, __trusted."""
 
-    Each task counts into arrays and sends them compressed, in chunks that are summed by chunk, so what is
-    shuffled doesn't grow with the vocabulary and what reaches the driver doesn't grow with the input.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = [0, 0]
+        for batch in batches:
+            for text, good in zip(batch.column(0), batch.column(1)):
+                t = text.as_py()
+                n[good.as_py() or 0] += max(0, 2 * len(TOKEN.findall(t)) - 1) if t else 0
+        yield pa.RecordBatch.from_pydict({"n": pa.array([sum(n)], pa.int64()), "good": pa.array([n[1]], pa.int64())})
+
+    r = flagged.mapInArrow(count, "n long, good long").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
+    return r.n or 0, r.good or 0
+
+
+def buckets_for(n_features: int, least: int = BUCKETS, load: int = LOAD) -> int:
+    """The least power of two from `least` on that holds n_features at no more than `load` a bucket."""
+    return max(least, 1 << max(0, math.ceil(n_features / load) - 1).bit_length())
+
+
+def _packed(at: np.ndarray, raw: np.ndarray, good: np.ndarray) -> bytes:
+    return zlib.compress(np.stack([np.diff(at, prepend=0), raw, good]).astype(np.uint32).tobytes(), 1)
+
+
+def ngram_counts(flagged: DataFrame, buckets: int) -> DataFrame:
+    """(chunk, counts) rows to be summed: the feature counts of all and of trusted documents, sparse and packed.
+
+    Each task sorts its features and counts those it has, so neither what it holds nor what is shuffled grows
+    with the table of buckets; a chunk is a range of CHUNK buckets. flagged: text, __trusted.
     """
-    flagged = join_keys(docs.select("doc_id", "text"), trusted.select("doc_id").distinct().withColumn("__trusted", F.lit(True)), "doc_id", "left")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = np.zeros((2, buckets + 1), np.int64)
         held: list[list[np.ndarray]] = [[], []]
         size = 0
+        sums = np.zeros((3, 0), np.int64)
 
-        def flush() -> None:
+        def merge() -> None:
+            nonlocal held, size, sums
             for k in (0, 1):
                 if held[k]:
-                    c = np.bincount(np.concatenate(held[k]), minlength=buckets + 1)
-                    both[0] += c
-                    both[1] += c * k
-                held[k] = []
+                    at, n = np.unique(np.concatenate(held[k]), return_counts=True)
+                    every, to = np.unique(np.concatenate([sums[0], at]), return_inverse=True)
+                    both = np.zeros((3, len(every)), np.int64)
+                    both[0] = every
+                    both[1:, to[: sums.shape[1]]] = sums[1:]
+                    both[1, to[sums.shape[1] :]] += n
+                    both[2, to[sums.shape[1] :]] += n * k
+                    sums = both
+            held, size = [[], []], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal sums
+            chunks, starts = np.unique(sums[0] // CHUNK, return_index=True)
+            for c, p in zip(chunks, np.split(sums, starts[1:], axis=1)):
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "counts": pa.array([_packed(p[0] - c * CHUNK, p[1], p[2])], pa.binary())})
+            sums = np.zeros((3, 0), np.int64)
 
         for batch in batches:
             for text, good in zip(batch.column(0), batch.column(1)):
                 f = features(text.as_py(), buckets)
                 held[good.as_py() or 0].append(f)
                 size += len(f)
-                if size > 2 * buckets:
-                    flush()
-                    size = 0
-        flush()
-        parts = np.array_split(both, _CHUNKS, axis=1)
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(_CHUNKS), pa.int32()), "counts": pa.array([zlib.compress(np.ascontiguousarray(p).tobytes(), 1) for p in parts], pa.binary())})
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in pdf["counts"])
-        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
-
-    sums = flagged.select("text", "__trusted").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInPandas(add, "chunk int, counts binary")
-    got = sorted((r.chunk, np.frombuffer(zlib.decompress(r.counts), np.int64).reshape(2, -1)) for r in sums.collect())
-    if not got:
-        return np.zeros(buckets + 1, np.int64), np.zeros(buckets + 1, np.int64)
-    both = np.concatenate([x for _, x in got], axis=1)
-    return both[0], both[1]
-
-
-def log_ratios(raw: np.ndarray, good: np.ndarray, alpha: float = ALPHA) -> np.ndarray:
+                if size > _HELD:
+                    merge()
+                    if sums.shape[1] > _HELD:
+                        yield from flush()
+        merge()
+        yield from flush()
+
+    return flagged.mapInArrow(count, "chunk int, counts binary")
+
+
+def log_ratios(raw: np.ndarray, good: np.ndarray, totals: tuple[int, int], buckets: int, alpha: float = ALPHA) -> np.ndarray:
     """log(p_trusted / p_raw) of each bucket in whole micro-nats, both smoothed by alpha; all 0 with no trusted text."""
-    if not good.sum():
-        return np.zeros(len(raw), np.int64)
-    nt, nr = math.log(good.sum() + alpha * len(good)), math.log(raw.sum() + alpha * len(raw))
-    return np.rint(((np.log(good + alpha) - nt) - (np.log(raw + alpha) - nr)) * 1e6).astype(np.int64)
+    nr, nt = totals
+    if not nt:
+        return np.zeros(len(raw), np.int32)
+    nt, nr = math.log(nt + alpha * (buckets + 1)), math.log(nr + alpha * (buckets + 1))
+    return np.rint(((np.log(good + alpha) - nt) - (np.log(raw + alpha) - nr)) * 1e6).astype(np.int32)
+
 
+def weights_file(counts: DataFrame, totals: tuple[int, int], buckets: int, alpha: float = ALPHA) -> str:
+    """Name of an added file of buckets + 1 log ratios (int32), for SparkFiles.
 
-def _scorer(spark, weights: np.ndarray):
-    shared = spark.sparkContext.broadcast(weights)
-    buckets = len(weights) - 1
+    Chunks are summed and turned into ratios by the executors and pass the driver one partition at a time on
+    their way into the file. Workers map it, so those of an executor share its pages and none holds it as a whole.
+    """
 
+    def ratios(pdf: pd.DataFrame) -> pd.DataFrame:
+        chunk = int(pdf["chunk"].iloc[0])
+        both = np.zeros((2, min(CHUNK, buckets + 1 - chunk * CHUNK)), np.int64)
+        for x in pdf["counts"]:
+            p = np.frombuffer(zlib.decompress(x), np.uint32).reshape(3, -1)
+            both[:, np.cumsum(p[0], dtype=np.int64)] += p[1:]
+        w = log_ratios(both[0], both[1], totals, buckets, alpha)
+        return pd.DataFrame({"chunk": [chunk], "weights": [zlib.compress(w.tobytes(), 1)]})
+
+    spark = counts.sparkSession
+    folder = tempfile.mkdtemp(prefix="plumbline-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    name = f"ratios-{uuid.uuid4().hex}"
+    out = np.memmap(f"{folder}/{name}", np.int32, "w+", shape=(buckets + 1,))
+    # a bucket of a chunk that nothing fell into is never looked up
+    for r in counts.groupBy("chunk").applyInPandas(ratios, "chunk int, weights binary").toLocalIterator():
+        w = np.frombuffer(zlib.decompress(r.weights), np.int32)
+        out[r.chunk * CHUNK : r.chunk * CHUNK + len(w)] = w
+    out.flush()
+    spark.sparkContext.addFile(f"{folder}/{name}")
+    return name
+
+
+def _scorer(name: str, buckets: int):
     @F.pandas_udf("struct<total: bigint, n: bigint>")
     def score(texts: pd.Series) -> pd.DataFrame:
-        w = shared.value
+        w = np.memmap(SparkFiles.get(name), np.int32, "r")
         out = np.zeros((len(texts), 2), np.int64)
         for k, t in enumerate(texts):
             f = features(t, buckets)
-            out[k] = w[f].sum(), len(f)
+            out[k] = w[f].sum(dtype=np.int64), len(f)
         return pd.DataFrame(out, columns=["total", "n"])
 
     return score
 
 
-def scored(docs: DataFrame, trusted: DataFrame, threshold: int = THRESHOLD, buckets: int = BUCKETS, alpha: float = ALPHA) -> DataFrame:
+def scored(docs: DataFrame, trusted: DataFrame, threshold: int = THRESHOLD, buckets: int | None = None, alpha: float = ALPHA) -> DataFrame:
     """docs with n_features, score (mean log ratio of a feature, in nats) and keep, for every row.
 
     trusted holds the doc_ids of the trusted target (others in it are ignored, repeats count once). Sums are
@@ -125,9 +190,14 @@ def scored(docs: DataFrame, trusted: DataFrame, threshold: int = THRESHOLD, buck
     has no token has 0 features, a null score, and isn't kept. Rows that repeat count as often as they are there.
     Without trusted documents every ratio is 0 and each document with a token is kept. Columns of docs named
     n_features, score or keep are replaced.
+
+    Without a number of buckets, the table grows with the counted features (buckets_for): up to LOAD * BUCKETS
+    features it is the table of the SQL.
     """
-    raw, good = ngram_counts(docs, trusted, buckets)
-    score = _scorer(docs.sparkSession, log_ratios(raw, good, alpha))
+    flagged = join_keys(docs.select("doc_id", "text"), trusted.select("doc_id").distinct().withColumn("__trusted", F.lit(True)), "doc_id", "left").select("text", "__trusted")
+    totals = feature_totals(flagged)
+    buckets = buckets or buckets_for(totals[0])
+    score = _scorer(weights_file(ngram_counts(flagged, buckets), totals, buckets, alpha), buckets)
     out = docs.drop("n_features", "score", "keep").withColumn("__s", score(F.col("text")))
     n, total = F.col("__s.n"), F.col("__s.total")
     out = out.withColumn("n_features", n).withColumn("score", F.when(n > 0, total / (n * 1_000_000)))

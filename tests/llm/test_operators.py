@@ -94,6 +94,24 @@ def test_quality_rules_without_trusted_or_rows(spark, docs, empty):
     assert quality_rules.filter_quality(docs, none).columns == docs.columns
 
 
+def test_quality_rules_table_grows_with_the_features(spark, docs, rows, monkeypatch):
+    load = quality_rules.LOAD
+    assert quality_rules.buckets_for(0) == quality_rules.buckets_for(load << 18) == quality_rules.BUCKETS
+    assert quality_rules.buckets_for((load << 18) + 1) == 1 << 19 and quality_rules.buckets_for(3 * load << 20) == 1 << 22
+    # the same rows with a table that had to grow, in several chunks, as with one given at that size
+    trusted = spark.createDataFrame([(k,) for k in range(0, 60, 2)], "doc_id long")
+    seen = []
+    monkeypatch.setattr(quality_rules, "buckets_for", lambda n: seen.append(n) or 1 << 20)
+    grown = sorted(quality_rules.scored(docs, trusted).select("doc_id", "n_features", "score").collect(), key=str)
+    b = quality_rules.BUCKETS
+    monkeypatch.setattr(quality_rules, "BUCKETS", 1 << 20)
+    want = {i: (n, total) for i, n, total in brute_scores(rows, set(range(0, 60, 2)))}
+    assert seen == [sum(n for n, _ in ((len(quality_rules.features(t)), 0) for _, t, _ in rows))] and b < 1 << 20
+    for r in grown:
+        n, total = want[r.doc_id]
+        assert r.n_features == n and (not n or abs(r.score - total / n / 1e6) < 2e-6)
+
+
 # 2 URL filters
 
 
