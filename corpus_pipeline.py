@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from plumbline.llm import decontaminate, jaccard, mixing, quality_rules, sharding
 from plumbline.llm.common import cut, read
 
-#: Old shards are the documents' sources; the last stage's plan names each document's new one.
+#: Old shards are the documents' sources; the last stage rewrites those that change and names each document's new one.
 Stage = tuple[str, object]
 
 
@@ -32,8 +32,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its old and new shard."""
-    return sharding.assign(docs)
+    """Every document with its old and new shard, the affected shards rewritten in the shared folder."""
+    return sharding.resharded(docs)
 
 
 STAGES = [

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections import deque
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,8 @@ BLOCKS = 1024
 #: Empty shards that the production query adds to the old ones, all of one capacity.
 NEW_SHARDS = 4
 SEED = "shard-1"
+#: Bytes of text a file of a rewritten shard.
+FILE_BYTES = 128 << 20
 
 
 def min_cost_flow(sizes: dict[str, int], capacities: dict[str, int]) -> list[tuple[str, str, int]]:
@@ -140,24 +143,55 @@ def assign(
     return placed.select(*[c for c in docs.columns if c not in ("old_shard", "new_shard", "moved")], "old_shard", "new_shard", (F.col("old_shard") != F.col("new_shard")).alias("moved"))
 
 
+def _rewrite(placed: DataFrame, root: str, files_a_shard: int = 1) -> list[str]:
+    """Write the rows of the shards that gain or lose some as folders under root, drop the folders of shards left empty."""
+    pairs = placed.select("old_shard", "new_shard").distinct().collect()
+    touched = sorted({x for r in pairs if r.old_shard != r.new_shard for x in r})
+    rows = placed.where(F.col("new_shard").isin(touched)) if touched else placed.limit(0)
+    rows = rows.repartition(max(1, len(touched)) * files_a_shard, "new_shard", F.pmod(F.xxhash64("doc_id"), F.lit(files_a_shard)))
+    rows.drop("old_shard", "moved").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("new_shard").parquet(root)
+    # dynamic overwrite leaves a folder that gets no row as it is; its rows lie in other shards now
+    jvm, conf = placed.sparkSession._jvm, placed.sparkSession._jsc.hadoopConfiguration()
+    for shard in set(touched) - {r.new_shard for r in pairs}:
+        folder = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString("new_shard", shard)
+        path = jvm.org.apache.hadoop.fs.Path(root, folder)
+        path.getFileSystem(conf).delete(path, True)
+    return touched
+
+
 def rewrite(docs: DataFrame, root: str, files_a_shard: int = 1, **params) -> list[str]:
     """Write docs under root as new_shard=... folders, but only those that gain or lose rows; returns their names.
 
     docs must have been read from elsewhere than root (or root from a snapshot): changed folders are overwritten
-    as a whole, the others are left as they lie.
+    as a whole, those of shards that lose all rows are deleted, the others are left as they lie.
     """
-    placed = assign(docs, **params)
-    moves = placed.where("moved").select("old_shard", "new_shard").distinct().collect()
-    touched = sorted({x for r in moves for x in r})
-    rows = placed.where(F.col("new_shard").isin(touched)) if touched else placed.limit(0)
-    rows = rows.repartition(max(1, len(touched)) * files_a_shard, "new_shard", F.pmod(F.xxhash64("doc_id"), F.lit(files_a_shard)))
-    rows.drop("old_shard", "moved").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("new_shard").parquet(root)
-    return touched
+    return _rewrite(assign(docs, **params), root, files_a_shard)
+
+
+def resharded(docs: DataFrame, shard_col: str = "source", **params) -> DataFrame:
+    """assign() carried out: the affected shards are written into the shared folder, and their rows are what was written.
+
+    Rows of shards that neither gain nor lose any aren't written; they come from the plan. A file holds about
+    FILE_BYTES of text.
+    """
+    placed = assign(docs, shard_col, **params)
+    root = f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
+    n, shards = placed.agg(F.sum(F.octet_length("text").cast("long")), F.count_distinct("new_shard")).first()
+    kept = [c for c in placed.columns if c not in ("old_shard", "new_shard", "moved")]
+    written = placed.withColumn("__old", F.col("old_shard"))
+    touched = _rewrite(written, root, max(1, math.ceil((n or 0) / max(1, shards) / FILE_BYTES)))
+    if not touched:
+        return placed
+    schema = T.StructType([*written.drop("old_shard", "new_shard", "moved").schema.fields, T.StructField("new_shard", T.StringType())])
+    back = docs.sparkSession.read.schema(schema).parquet(root)
+    old, new = F.coalesce("__old", F.lit("")), F.coalesce("new_shard", F.lit(""))  # a folder can't be named ''
+    back = back.select(*kept, old.alias("old_shard"), new.alias("new_shard"), (old != new).alias("moved"))
+    return back.unionByName(placed.where(~F.col("new_shard").isin(touched)))
 
 
 def sharded(docs: DataFrame, **params) -> DataFrame:
-    """doc_id, old_shard, new_shard and moved for every row of docs (see assign)."""
-    return assign(docs, **params).select("doc_id", "old_shard", "new_shard", "moved")
+    """doc_id, old_shard, new_shard and moved for every row of docs, the affected shards rewritten (see resharded)."""
+    return resharded(docs, **params).select("doc_id", "old_shard", "new_shard", "moved")
 
 
 def sql(tail: str = "select doc_id, old_shard, new_shard, old_shard <> new_shard moved from placed", docs: str = "documents") -> str:

@@ -485,3 +485,24 @@ def test_resharding(spark, docs, rows, empty, tmp_path):
     touched = sharding.rewrite(plain, root, new_shards=2, blocks=64)
     back = spark.read.parquet(root)
     assert back.count() == len(rows) and touched and set(touched) <= {"", "s0", "s1", "s2", "new0", "new1"}
+
+
+def test_resharding_writes_and_drops_emptied_shards(spark, docs, rows, tmp_path, monkeypatch):
+    plain = docs.select("doc_id", "text", "source")
+    for name in ("s0", ""):  # the old shard has no capacity: all of its rows move and its folder goes
+        root = str(tmp_path / f"out{name}")
+        caps = {s: 10**9 for s in ("", "s0", "s1", "s2")}
+        sharding.assign(plain, capacities=caps).drop("old_shard", "moved").write.partitionBy("new_shard").parquet(root)
+        touched = sharding.rewrite(plain, root, capacities={s: n for s, n in caps.items() if s != name})
+        back = spark.read.parquet(root)
+        assert name in touched and back.count() == len(rows) and not back.where(F.coalesce("new_shard", F.lit("")) == name).count()
+    monkeypatch.setattr(sharding, "shared_dir", lambda spark: str(tmp_path / "shared"))
+    planned = sharding.assign(docs, new_shards=2, blocks=64)
+    got = sharding.resharded(docs, new_shards=2, blocks=64)
+    assert got.columns == planned.columns and sorted(got.collect(), key=str) == sorted(planned.collect(), key=str)
+    (root,) = (tmp_path / "shared").iterdir()
+    moved = planned.where("moved").select("old_shard", "new_shard").collect()
+    changed = {x for r in moved for x in r}
+    assert spark.read.parquet(str(root)).count() == planned.where(F.col("new_shard").isin(list(changed))).count() > 0
+    sharding.sharded(docs)
+    assert len(list((tmp_path / "shared").iterdir())) == 2
