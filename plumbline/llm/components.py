@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import cut
 
 
+def _least(e: DataFrame) -> DataFrame:
+    """e (u, v) with m, the least v of its u; a combine and a join, so a u of many edges isn't one task's window."""
+    return e.join(e.groupBy("u").agg(F.min("v").alias("m")), "u")
+
+
 def _large(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    m = F.least("u", F.min("v").over(Window.partitionBy("u")))
-    return both.withColumn("m", m).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
 def _small(e: DataFrame) -> DataFrame:
-    down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    down = down.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    down = _least(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     kept = down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return kept.unionByName(down.select("u", F.col("m").alias("v"))).distinct()
 

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import HASHES, cut, join_keys, shingle_hashes, words
+from plumbline.llm.common import FILE, HASHES, ROW, RowMap, cut, located, shingle_hashes, stored, text_slices, trim, words
 from plumbline.llm.components import components
 
 #: Words in an n-gram, and the least Jaccard similarity of a pair.
@@ -28,10 +28,13 @@ LIGHT_MAX = 40
 #: same for all documents, so the join is exact whatever collides.
 SKETCH, WORDS = 1 << 22, 1 << 18
 _CHUNKS, _BITS = 16, 4096
+#: Minimum-hash keys of a set, and values in a key.
+_KEYS, _VALUES = 12, 4
 #: Least number of token ranges: above a few per n-gram of a set's prefix, posting blocks look alike at every size.
 _LEAST_PARTS = 192
 _ROWS_A_PART = 1_500
-_BLOCK = 1_000
+#: Sets, and n-grams, of a block of a large component; two blocks are compared at once.
+_BLOCK_SETS, _BLOCK_GRAMS = 2_500, 1 << 20
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 _SID = np.uint64(0x9FB21C651E98DF25)
 _HASH = np.uint64((1 << 56) - 1)
@@ -111,59 +114,71 @@ def _missing(size: int, t: float) -> int:
     return size - math.ceil(size * t - 1e-9)
 
 
-def _slices(column: pa.Array, size: int = 500) -> Iterator[tuple[int, list[str | None]]]:
-    for start in range(0, len(column), size):
-        yield start, column.slice(start, size).to_pylist()
+def set_keys(s: np.ndarray) -> np.ndarray:
+    """Minimum-hash keys of an ascending set: the range of hashes is cut in bins, the least hash from a bin's
+    beginning on is its value, and each key is a hash of some values. Similar sets are likely to share a key."""
+    edges = (np.arange(_KEYS * _VALUES, dtype=np.uint64) << np.uint64(56)) // np.uint64(_KEYS * _VALUES)
+    v = s[np.searchsorted(s, edges) % len(s)].reshape(_VALUES, _KEYS)
+    out = np.arange(_KEYS, dtype=np.uint64) + _SID
+    with np.errstate(over="ignore"):
+        for x in v:
+            out = (out ^ x) * _PAIR
+            out ^= out >> np.uint64(29)
+    return out
+
+
+_SCANNED = f"chunk int, counts binary, doc_id long, {FILE} long, {ROW} long, sid long, size int, bits binary, keys binary"
 
 
-def _read_sets(docs: DataFrame, n: int) -> DataFrame:
-    """One pass over the text: chunks of the sketches (chunk >= 0) and packed ids of the sets (chunk = -1)."""
+def _read_sets(place: DataFrame, n: int) -> DataFrame:
+    """One pass over the text: a row for each document with its set's id, size, bitmap and keys (chunk = -1; no id
+    without words), and chunks of the sketches (chunk >= 0), to which a task counts each distinct set once."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, by_word = np.zeros(SKETCH, np.uint32), np.zeros(WORDS, np.int64)
+        counts, by_word = np.zeros(SKETCH, np.uint32), np.zeros(WORDS, np.uint32)
         held: list[np.ndarray] = []
-        held_words: list[np.ndarray] = []
+        size, seen = 0, set()
 
         def flush() -> None:
-            nonlocal by_word, held, held_words
+            nonlocal held, size
             if held:
-                np.add(counts, np.bincount(np.concatenate(held).view(np.int64), minlength=SKETCH), out=counts, casting="unsafe")
-                by_word += np.bincount(np.concatenate(held_words).view(np.int64), minlength=WORDS)
-            held, held_words = [], []
+                at, many = np.unique(np.concatenate(held), return_counts=True)
+                counts[at] += many.astype(np.uint32)
+            held, size = [], 0
 
-        size = 0
         for b in batches:
-            ids, sids, sizes, bits = [], [], [], []
-            docs_of = b.column(0).to_pylist()
-            for start, texts in _slices(b.column(1)):
+            for start, texts in text_slices(b.column(0)):
                 run = Texts(texts, n)
-                held_words.append(run.words & np.uint64(WORDS - 1))
+                by_word += np.bincount((run.words & np.uint64(WORDS - 1)).view(np.int64), minlength=WORDS).astype(np.uint32)
+                sids, sizes, bits, keys = [], [], [], []
                 for k in range(len(texts)):
-                    if run.lens[k]:
-                        s = distinct(run.ngrams(k))
-                        ids.append(docs_of[start + k]), sids.append(set_id(s)), sizes.append(len(s)), bits.append(parity(s))
-                        held.append(s & np.uint64(SKETCH - 1))
+                    if not run.lens[k]:
+                        sids.append(None), sizes.append(0), bits.append(None), keys.append(None)
+                        continue
+                    s = distinct(run.ngrams(k))
+                    sids.append(set_id(s)), sizes.append(len(s)), bits.append(parity(s)), keys.append(set_keys(s).tobytes())
+                    if sids[-1] not in seen:
+                        if len(seen) > 1_000_000:
+                            seen.clear()
+                        seen.add(sids[-1])
+                        held.append((s & np.uint64(SKETCH - 1)).view(np.int64))
                         size += len(s)
                 if size > SKETCH >> 2:
                     flush()
-                    size = 0
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([-1], pa.int32()), "a": pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), "b": pa.array([np.array(sids, np.int64).tobytes()], pa.binary()), "c": pa.array([np.array(sizes, np.int32).tobytes()], pa.binary()), "d": pa.array([b"".join(bits)], pa.binary())})
+                rows, where = len(texts), slice(start, start + len(texts))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([-1] * rows, pa.int32()), pa.nulls(rows, pa.binary()), *[b.column(c)[where] for c in (1, 2, 3)], pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(keys, pa.binary())],
+                    names=["chunk", "counts", "doc_id", FILE, ROW, "sid", "size", "bits", "keys"],
+                )
         flush()
         if counts.any():
-            both = np.concatenate([counts, by_word.astype(np.uint32)])
-            packed = [zlib.compress(x.tobytes(), 1) for x in np.array_split(both, _CHUNKS)]
-            none = pa.array([None] * _CHUNKS, pa.binary())
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(_CHUNKS), pa.int32()), "a": pa.array(packed, pa.binary()), "b": none, "c": none, "d": none})
-
-    return docs.mapInArrow(scan, "chunk int, a binary, b binary, c binary, d binary")
+            packed = [zlib.compress(x.tobytes(), 1) for x in np.array_split(np.concatenate([counts, by_word]), _CHUNKS)]
+            none = [pa.nulls(_CHUNKS, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(range(_CHUNKS), pa.int32()), pa.array(packed, pa.binary()), *none], names=["chunk", "counts", "doc_id", FILE, ROW, "sid", "size", "bits", "keys"])
+        del counts, by_word, held, seen
+        trim()
 
-
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for x, y, z, d in zip(*(b.column(k).to_pylist() for k in range(4))):
-            sizes = np.frombuffer(z, np.int32)
-            ends = np.cumsum([0, *(_parity_bits(int(k)) // 8 for k in sizes)])
-            yield pa.RecordBatch.from_pydict({"doc_id": np.frombuffer(x, np.int64), "sid": np.frombuffer(y, np.int64), "size": sizes, "bits": pa.array([d[i:j] for i, j in zip(ends, ends[1:])], pa.binary())})
+    return place.select("text", "doc_id", FILE, ROW).mapInArrow(scan, _SCANNED)
 
 
 class Rarity:
@@ -188,14 +203,16 @@ class Rarity:
 
 
 def _sketches(scanned: DataFrame) -> np.ndarray:
+    """The summed sketches, of fixed size."""
+
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64) for x in pdf["a"])
-        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "a": [zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)]})
+        total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64) for x in pdf["counts"])
+        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "counts": [zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)]})
 
-    rows = scanned.where("chunk >= 0").select("chunk", "a").groupBy("chunk").applyInPandas(add, "chunk int, a binary").collect()
+    rows = scanned.where("chunk >= 0").select("chunk", "counts").groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect()
     if not rows:
         return np.zeros(SKETCH + WORDS, np.uint32)
-    return np.concatenate([np.frombuffer(zlib.decompress(r.a), np.uint32) for r in sorted(rows, key=lambda r: r.chunk)])
+    return np.concatenate([np.frombuffer(zlib.decompress(r.counts), np.uint32) for r in sorted(rows, key=lambda r: r.chunk)])
 
 
 def subset_tokens(prefix: np.ndarray) -> np.ndarray:
@@ -233,7 +250,7 @@ def _costs(docs: DataFrame, sketch, n: int, t: float) -> dict[int, tuple[int, in
         total = np.zeros((LIGHT_MAX + 1, 3))
         rarity = Rarity(sketch.value)
         for b in batches:
-            for _, texts in _slices(b.column(0)):
+            for _, texts in text_slices(b.column(0)):
                 run = Texts(texts, n)
                 expected = run.expected(rarity.words)
                 for k in range(len(texts)):
@@ -249,147 +266,167 @@ def _costs(docs: DataFrame, sketch, n: int, t: float) -> dict[int, tuple[int, in
     return {r[0]: (int(r[1]), int(r[2]), r[3]) for r in rows}
 
 
-_POSTING = "part int, small boolean, tok binary, sid binary, size binary, pos binary, head binary"
+_POSTING = "part int, small boolean, tok binary, ids binary, size binary, pos binary"
 
 
-def _postings(docs: DataFrame, sketch, n: int, t: float, boundary: int, parts: int) -> DataFrame:
-    """Posting lists in packed blocks, one for each (batch, part, kind); part is a range of token hashes."""
+def _alone(size: np.ndarray | int, t: float):
+    """Whether sets of at most this size may be similar with one n-gram in common: subsets of two don't find them."""
+    return t * size <= 1 + 1e-9
+
+
+def _postings(place: DataFrame, labels: RowMap, sketch, n: int, t: float, boundary: int, parts: int) -> DataFrame:
+    """Posting lists of the distinct sets in packed blocks, one for each (run of texts, part, kind); part is a
+    range of token hashes. labels: -1 for rows whose set another row stands for, else the group of the row's set."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = Rarity(sketch.value)
+        kinds: tuple[list, list] = ([], [])
+        held = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for small, kind in enumerate(kinds):
+                if not kind:
+                    continue
+                lens = np.array([len(x[0]) for x in kind])
+                with np.errstate(over="ignore"):
+                    tok = np.concatenate([x[0] for x in kind]) * _PAIR
+                part = (tok >> np.uint64(33)).astype(np.int64) % parts
+                order = np.argsort(part, kind="stable")
+                ids = np.repeat(np.array([x[1:3] for x in kind], np.int64), lens, axis=0)
+                pos = np.arange(len(tok), dtype=np.int64) - np.repeat(np.cumsum(lens) - lens, lens)
+                cols = [tok.astype(np.uint32), ids, np.repeat(np.array([x[3] for x in kind], np.int32), lens), pos.astype(np.int32)]
+                cols = [c[order] for c in cols]
+                at = np.flatnonzero(np.diff(part[order], prepend=-1))
+                ends = [*at[1:], len(order)]
+                yield pa.RecordBatch.from_pydict({"part": pa.array(part[order][at], pa.int32()), "small": pa.array([bool(small)] * len(at))} | {k: pa.array([c[i:j].tobytes() for i, j in zip(at, ends)], pa.binary()) for k, c in zip(("tok", "ids", "size", "pos"), cols)})
+                kind.clear()
+
         for b in batches:
-            kinds: tuple[list, list] = ([], [])
-            for start, texts in _slices(b.column(0)):
+            found, label = labels.find(b.column(1).to_numpy(), b.column(2).to_numpy())
+            for start, texts in text_slices(b.column(0)):
+                texts = [None if found[k] and label[k] < 0 else x for k, x in enumerate(texts, start)]
                 run = Texts(texts, n)
                 expected = run.expected(rarity.words)
                 for k in range(len(texts)):
-                    ranked = rarity.ranked(run, k, expected)
-                    size = len(ranked)
-                    if not size:
+                    if not run.lens[k]:
                         continue
-                    sid, m = set_id(ranked & _HASH), _missing(size, t)
+                    ranked = rarity.ranked(run, k, expected)
+                    size, sid = len(ranked), set_id(ranked & _HASH)
+                    m, group = _missing(size, t), int(label[start + k]) if found[start + k] else sid
                     if 2 <= size < boundary:
-                        toks = subset_tokens(ranked[: m + K])
-                        kinds[1].append((toks, np.arange(len(toks), dtype=np.int32), sid, size))
-                    if size >= t * boundary or size < 2:
-                        toks = ranked[: m + 1]
-                        kinds[0].append((toks, np.arange(len(toks), dtype=np.int32), sid, size))
-                if start + 500 < b.num_rows and start % 4000 != 3500:
-                    continue
-                for small, kind in enumerate(kinds):
-                    if not kind:
-                        continue
-                    lens = np.array([len(x[0]) for x in kind])
-                    tok = np.concatenate([x[0] for x in kind])
-                    part = ((tok * _PAIR) >> np.uint64(33)).astype(np.int64) % parts
-                    order = np.argsort(part, kind="stable")
-                    cols = [tok, np.repeat(np.array([x[2] for x in kind], np.int64), lens), np.repeat(np.array([x[3] for x in kind], np.int32), lens), np.concatenate([x[1] for x in kind]), np.repeat(np.array([_heads(x[0]) for x in kind], np.uint64), lens)]
-                    cols = [c[order] for c in cols]
-                    at = np.flatnonzero(np.diff(part[order], prepend=-1))
-                    ends = [*at[1:], len(order)]
-                    yield pa.RecordBatch.from_pydict({"part": pa.array(part[order][at], pa.int32()), "small": pa.array([bool(small)] * len(at))} | {k: pa.array([c[i:j].tobytes() for i, j in zip(at, ends)], pa.binary()) for k, c in zip(("tok", "sid", "size", "pos", "head"), cols)})
-                kinds = ([], [])
-
-    return docs.select("text").mapInArrow(scan, _POSTING)
-
-
-def _heads(toks: np.ndarray) -> int:
-    """32-bit fingerprints of the two rarest tokens."""
-    out = 0
-    for x in (toks[0], toks[min(1, len(toks) - 1)]):
-        out = (out << 32) | (int(x) * int(_PAIR) & 0xFFFFFFFFFFFFFFFF) >> 32
-    return out
-
+                        kinds[1].append((subset_tokens(ranked[: m + K]), sid, group, size))
+                    if size >= t * boundary or _alone(size, t):
+                        kinds[0].append((ranked[: m + 1], sid, group, size))
+                        held += m
+                if held > 400_000:
+                    yield from flush()
+                    held = 0
+        yield from flush()
+        del rarity
+        trim()
 
-def _share_a_head(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    half, low = np.uint64(32), np.uint64(0xFFFFFFFF)
-    x1, x2, y1, y2 = x >> half, x & low, y >> half, y & low
-    return (x1 == y1) | (x1 == y2) | (x2 == y1) | (x2 == y2)
+    return place.select("text", FILE, ROW).mapInArrow(scan, _POSTING)
 
 
-def _pairs_of(tok, sid, size, pos, head, small: bool, t: float, boundary: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs of sets that share a token, as arrays of set ids (least first) and whether they are doubtful.
+def _pairs_of(tok: np.ndarray, ids: np.ndarray, size: np.ndarray, pos: np.ndarray, small: bool, t: float, boundary: int, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of sets of different groups that share a token where the length and positional bounds hold, least id first.
 
-    Sets that share one of their two rarest tokens are almost always similar and share most others too: they are
-    paired at such a token only. Others are paired at each shared token where the positional bound holds, which
-    it does at the first token that similar sets share, and they are doubtful.
+    The positional bound holds at the first token that two similar sets share. Pairs of one group aren't
+    formed: a list of a thousand near copies costs as much as its length.
     """
-    order = np.lexsort((sid, size, tok))
-    tok, sid, size, pos, head = (x[order] for x in (tok, sid, size, pos, head))
+    order = np.lexsort((ids[:, 0], ids[:, 1], tok))
+    tok, sid, group, size, pos = tok[order], ids[order, 0], ids[order, 1], size[order].astype(np.int64), pos[order]
     new = np.ones(len(tok), bool)
-    new[1:] = (tok[1:] != tok[:-1]) | (sid[1:] != sid[:-1])  # copies have the same set
-    tok, sid, size, pos, head = (x[new] for x in (tok, sid, size, pos, head))
-    live = np.arange(len(tok) - 1)
-    d = 1
-    while True:
-        live = live[live + d < len(tok)]
-        live = live[tok[live] == tok[live + d]]
-        # sizes ascend within a list: past the length bound no longer partner fits
-        live = live[t * size[live + d] <= size[live] + 1e-9]
-        if not len(live):
-            return
-        i, j = live, live + d
-        if not small:
-            i, j = i[size[j] >= boundary], j[size[j] >= boundary]
-        rare = (pos[i] < 2) & (pos[j] < 2)
-        ok = rare | ~_share_a_head(head[i], head[j])
+    new[1:] = (tok[1:] != tok[:-1]) | (sid[1:] != sid[:-1])
+    tok, sid, group, size, pos = (x[new] for x in (tok, sid, group, size, pos))
+    if not len(tok):
+        return
+    first = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
+    run = np.flatnonzero(np.concatenate([[True], (tok[1:] != tok[:-1]) | (group[1:] != group[:-1])]))
+    list_end = np.repeat(np.append(first[1:], len(tok)), np.diff(np.append(first, len(tok))))
+    run_end = np.repeat(np.append(run[1:], len(tok)), np.diff(np.append(run, len(tok))))
+    left = np.flatnonzero(list_end > run_end)
+    many = (list_end - run_end)[left]
+    done = np.concatenate([[0], np.cumsum(many)])
+    start = 0
+    while start < len(left):
+        stop = max(start + 1, int(np.searchsorted(done, done[start] + most, "right")) - 1)
+        n = many[start:stop]
+        i = np.repeat(left[start:stop], n)
+        j = run_end[i] + np.arange(len(i)) - np.repeat(done[start:stop] - done[start], n)
+        low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+        ok = t * high <= low + 1e-9
         if not small:
-            need = np.ceil(t / (1 + t) * (size[i].astype(np.int64) + size[j]) - 1e-9)
-            ok &= rare | (np.minimum(size[i] - pos[i], size[j] - pos[j]) >= need)
-        i, j, rare = i[ok], j[ok], rare[ok]
+            ok &= (high >= boundary) | _alone(high, t)
+            ok &= np.minimum(size[i] - pos[i], size[j] - pos[j]) >= np.ceil(t / (1 + t) * (low + high) - 1e-9)
+        i, j = sid[i[ok]], sid[j[ok]]
         if len(i):
-            yield np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j]), ~rare
-        d += 1
+            yield np.minimum(i, j), np.maximum(i, j)
+        start = stop
+
+
+def _distinct_pairs(got: list) -> tuple[np.ndarray, np.ndarray]:
+    a, b = (np.concatenate([x[k] for x in got]) for k in range(2))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    return a[at], b[at]
 
 
 def _candidates(postings: DataFrame, t: float, boundary: int, tasks: int) -> DataFrame:
+    """Distinct pairs (a, b) of sets of different groups that meet in a posting list."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         key = None
 
         def flush() -> Iterator[pa.RecordBatch]:
-            arrays = [np.frombuffer(b"".join(x[k] for x in held), kind) for k, kind in enumerate((np.uint64, np.int64, np.int32, np.int32, np.uint64))]
+            tok, ids, sizes, pos = (np.frombuffer(b"".join(x[k] for x in held), kind) for k, kind in enumerate((np.uint32, np.int64, np.int32, np.int32)))
             got, size = [], 0
-            for trio in _pairs_of(*arrays, key[1], t, boundary):
-                got.append(trio)
-                size += len(trio[0])
+            for pair in _pairs_of(tok, ids.reshape(-1, 2), sizes, pos, key[1], t, boundary):
+                got.append(pair)
+                size += len(pair[0])
                 if size > 1_000_000:
-                    got = [out(got)]
+                    got = [_distinct_pairs(got)]
                     size = len(got[0][0])
                     if size > 500_000:
-                        yield row(got)
+                        yield pa.RecordBatch.from_pydict(dict(zip(("a", "b"), got[0])))
                         got, size = [], 0
             if got:
-                yield row(got)
-
-        def out(got: list) -> tuple[np.ndarray, ...]:
-            a, b, weak = (np.concatenate([x[k] for x in got]) for k in range(3))
-            order = np.lexsort((weak, b, a))  # a pair that is seen without doubt has none
-            a, b, weak = a[order], b[order], weak[order]
-            at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-            return a[at], b[at], weak[at]
-
-        def row(got: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict(dict(zip(("a", "b", "weak"), out(got))))
+                yield pa.RecordBatch.from_pydict(dict(zip(("a", "b"), _distinct_pairs(got))))
 
         for batch in batches:
-            cols = [batch.column(k) for k in range(7)]
+            cols = [batch.column(k) for k in range(6)]
             for r in range(batch.num_rows):
                 k = (cols[0][r].as_py(), cols[1][r].as_py())
                 if k != key and held:
                     yield from flush()
                     held = []
                 key = k
-                held.append(tuple(cols[c][r].as_py() for c in range(2, 7)))
+                held.append(tuple(cols[c][r].as_py() for c in range(2, 6)))
         if held:
             yield from flush()
+        held = []
+        trim()
 
     spread = postings.repartition(tasks, "part", "small").sortWithinPartitions("part", "small")
-    return spread.mapInArrow(scan, "a long, b long, weak boolean").groupBy("a", "b").agg(F.min("weak").alias("weak"))
+    return spread.mapInArrow(scan, "a long, b long").distinct()
+
+
+def _near_keys(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a set and the least set that has a minimum-hash key with it: as many as keys at most."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"key": np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64), "b": np.repeat(b.column(0).to_numpy(), _KEYS)})
+
+    keys = sets.select("sid", "keys").mapInArrow(explode, "key long, b long")
+    least = keys.groupBy("key").agg(F.min("b").alias("a"), F.max("b").alias("z")).where("a <> z").select("key", "a")
+    return keys.join(least, "key").where("a <> b").select("a", "b").distinct()
 
 
 def _plausible(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
-    """Doubtful pairs whose parities differ in no more bits than similar sets of their sizes may differ in n-grams."""
+    """The pairs whose bitmaps differ in no more bits than similar sets of their sizes may differ in n-grams."""
     ends = [sets.select(F.col("sid").alias(x), F.col("size").alias(f"size_{x}"), F.col("bits").alias(f"bits_{x}")) for x in ("a", "b")]
     j = pairs.join(ends[0], "a").join(ends[1], "b")
 
@@ -406,122 +443,235 @@ def _plausible(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(z[k] for k in at), np.uint8).reshape(len(at), -1) for z in (xs, ys))
                 differ[at] = ones[_fold(x, min(p, q)) ^ _fold(y, min(p, q))].sum(1)
             total = b.column(2).to_numpy().astype(np.int64) + b.column(4).to_numpy()
-            ok = differ <= (1 - t) / (1 + t) * total + 1e-9
-            yield pa.RecordBatch.from_pydict({"a": b.column(0).filter(pa.array(ok)), "b": b.column(1).filter(pa.array(ok))})
+            ok = pa.array(differ <= (1 - t) / (1 + t) * total + 1e-9)
+            yield pa.RecordBatch.from_pydict({"a": b.column(0).filter(ok), "b": b.column(1).filter(ok)})
+        trim()
 
     return j.select("a", "b", "size_a", "bits_a", "size_b", "bits_b").mapInArrow(check, "a long, b long")
 
 
-def _verify(docs: DataFrame, reps: DataFrame, candidates: DataFrame, n: int, t: float) -> DataFrame:
-    """(a, b, jaccard) of the candidates that reach t. A set's text is read once and goes to its component's
-    task; a large component is cut in blocks, and a text goes to those pairs of blocks where it has a candidate."""
-    roots = components(candidates, "a", "b")
-    many = roots.groupBy("root").agg(F.ceil(F.count("*") / F.lit(_BLOCK)).cast("int").alias("blocks"))
-    total = roots.count()
-    groups = max(1, math.ceil(total / _BLOCK))
-    place = roots.join(many, "root").select(
-        F.col("v").alias("sid"), F.when(F.col("blocks") > 1, F.col("root")).otherwise(-1 - F.pmod(F.xxhash64("root"), F.lit(groups))).alias("g"), "blocks", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("blk")
-    )
-    place = cut(place)
-    ends = [place.select(F.col("sid").alias(x), F.col("g").alias(f"g_{x}"), F.col("blk").alias(f"blk_{x}")) for x in ("a", "b")]
-    pairs = candidates.join(ends[0], "a").join(ends[1], "b")
-    pairs = pairs.select(F.col("g_a").alias("g"), F.least("blk_a", "blk_b").alias("lo"), F.greatest("blk_a", "blk_b").alias("hi"), "a", "b")
-    keys = ["g", "lo", "hi"]
-    spread = pairs.select(F.col("a").alias("sid"), *keys).unionByName(pairs.select(F.col("b").alias("sid"), *keys)).distinct()
-    spread = cut(spread.join(reps, "sid"))
-    texts = join_keys(docs, spread, "doc_id", "inner").select("g", "lo", "hi", "sid", "text")
-
-    def check(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        wanted = set(right["a"]) | set(right["b"])
-        sets = {}
-        for sid, text in zip(left["sid"], left["text"]):
-            if sid in wanted and sid not in sets:
-                s = ngram_set(text, n)
-                if set_id(s) == sid:
-                    sets[sid] = s
-        out = []
-        for a, g in right.groupby("a", sort=False)["b"]:
-            x = sets.get(a)
-            bs = [b for b in g if b in sets]  # what isn't there is another row's text under a doc_id that repeats
-            for start in range(0, len(bs) if x is not None else 0, 2000):
-                some = bs[start : start + 2000]
-                ys = [sets[b] for b in some]
-                lens = np.array([len(y) for y in ys])
-                flat = np.concatenate(ys)
-                hit = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
-                both = np.add.reduceat(hit, np.cumsum(lens) - lens, dtype=np.int64)
-                j = both / (len(x) + lens - both)
-                out += [(a, b, v) for b, v in zip(some, j.tolist()) if v >= t - 1e-12]
-        return pd.DataFrame(out, columns=["a", "b", "jaccard"])
-
-    return texts.groupBy(*keys).cogroup(pairs.groupBy(*keys)).applyInPandas(check, "a long, b long, jaccard double")
-
-
-def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id_a, doc_id_b, jaccard): all pairs of documents whose sets of word n-grams reach the threshold.
-
-    Words are runs of word characters in lower case. Documents with the same set are one class, named by its
-    least doc_id; the rows are (name, member, 1.0) for each other member, and (name, name, jaccard) for each
-    pair of classes that reach the threshold. So the result holds every similar pair: x and y are similar if
-    they have one class or their classes are paired. doc_id_a < doc_id_b.
-
-    With no cap on partners, and exact but for hash collisions: a pair is missed if 32-bit fingerprints collide
-    of sets that share neither of their two rarest n-grams, less than one pair in a billion. A set of size s may lack m = s - ceil(t s) n-grams in a partner, so with
-    n-grams ordered by rarity two partners share k of their m + k rarest. Small sets (size under a boundary)
-    enumerate the 2-subsets of their m + 2 rarest and meet in equal subsets; sets from t x boundary on list
-    their m + 1 rarest in inverted lists, which are scanned for pairs with a large set, under length and
-    positional bounds; pairs that share neither of their rarest n-grams must also pass a bitmap bound. The boundary is the one of least estimated cost. Rarity comes from a count of all
-    documents' n-grams in a table of fixed size.
-
-    Texts that are null or have no word have no n-grams and pair with nothing. Rows without doc_id are left
-    out. Rows that repeat a doc_id don't pair with each other. Texts shorter than n words have one n-gram, the
-    whole text. An empty table gives no rows; other columns are ignored.
+def overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many n-grams each set of xs shares with each of ys: frequent n-grams as a product of 0-1 matrices,
+    those that few sets have by their pairs of sets."""
+    nx, ny = len(xs), len(ys)
+    lens = np.array([len(s) for s in chain(xs, ys)])
+    flat, at = np.unique(np.concatenate([*xs, *ys]), return_inverse=True)
+    row = np.repeat(np.arange(nx + ny), lens)
+    left = row < nx
+    x = np.bincount(at[left], minlength=len(flat))
+    y = np.bincount(at[~left], minlength=len(flat))
+    out = np.zeros((nx, ny), np.float32)
+    dense = x.astype(np.float64) * y > max(nx * ny / 200, 1)
+    name = np.full(len(flat), -1)
+    name[dense] = np.arange(dense.sum())
+    d = name[at]
+    for start in range(0, int(dense.sum()), 1024):
+        some = (d >= start) & (d < start + 1024)
+        a, b = np.zeros((nx, 1024), np.float32), np.zeros((ny, 1024), np.float32)
+        a[row[some & left], d[some & left] - start] = 1
+        b[row[some & ~left] - nx, d[some & ~left] - start] = 1
+        out += a @ b.T
+    rare = (x > 0) & (y > 0) & ~dense
+    p, q = np.flatnonzero(rare[at] & left), np.flatnonzero(rare[at] & ~left)
+    q = q[np.argsort(at[q], kind="stable")]
+    begins = np.concatenate([[0], np.cumsum(np.where(rare, y, 0))])
+    many = y[at[p]]
+    done = np.concatenate([[0], np.cumsum(many)])
+    start = 0
+    while start < len(p):
+        stop = max(start + 1, int(np.searchsorted(done, done[start] + 2_000_000, "right")) - 1)
+        n = many[start:stop]
+        i = np.repeat(row[p[start:stop]], n)
+        k = np.repeat(begins[at[p[start:stop]]], n) + np.arange(len(i)) - np.repeat(done[start:stop] - done[start], n)
+        cell, times = np.unique(i * ny + (row[q[k]] - nx), return_counts=True)
+        out.reshape(-1)[cell] += times
+        start = stop
+    return out
+
+
+def _similar(xs: list[np.ndarray], ys: list[np.ndarray], t: float) -> np.ndarray:
+    both = overlaps(xs, ys)
+    out = np.zeros(both.shape, bool)
+    lx, ly = np.array([len(s) for s in xs], np.float64), np.array([len(s) for s in ys], np.float64)
+    for k in range(0, len(xs), 256):
+        o = both[k : k + 256].astype(np.float64)
+        out[k : k + 256] = o / (lx[k : k + 256, None] + ly - o) >= t - 1e-12
+    return out
+
+
+def _forest(similar: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (vertex, another it is connected with) that connect what rows and columns, numbered after the rows, the matrix connects."""
+    nx, ny = similar.shape
+    free, out = similar.any(1), []
+    for i in range(nx):
+        if not free[i]:
+            continue
+        rows, cols = np.zeros(nx, bool), np.zeros(ny, bool)
+        rows[i], new = True, np.array([i])
+        while len(new):
+            more = similar[new].any(0) & ~cols
+            cols |= more
+            more = similar[:, more].any(1) & ~rows
+            rows |= more
+            new = np.flatnonzero(more)
+        free &= ~rows
+        out += [(i, int(k)) for k in np.flatnonzero(rows) if k != i] + [(i, nx + int(k)) for k in np.flatnonzero(cols)]
+    return out
+
+
+def _verify(place: DataFrame, sets: DataFrame, roots: DataFrame, n: int, t: float) -> DataFrame:
+    """(a, b, links): for each set of the candidates' components the number of sets in it that are similar to it (b
+    null), in parts to be summed, and edges (links null) that connect what similar pairs connect.
+
+    All pairs of a component are compared, as products of blocks of sets. Texts of components go to their
+    task; a component of more than a block's size is spread over the pairs of its blocks.
     """
+    sized = roots.select(F.col("v").alias("sid"), "root").join(sets.select("sid", "size", FILE, ROW), "sid")
+    many = sized.groupBy("root").agg(F.count("*").alias("sets"), F.sum("size").alias("grams"))
+    many = cut(many.select("root", "grams", F.greatest(F.ceil(F.col("sets") / F.lit(_BLOCK_SETS)), F.ceil(F.col("grams") / F.lit(_BLOCK_GRAMS))).cast("long").alias("blocks")))
+    groups = max(1, math.ceil((many.agg(F.sum("grams")).first()[0] or 0) / _BLOCK_GRAMS))
+    where = RowMap(sized.join(many, "root"), ("root", "blocks"))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, root, blocks = where.find(b.column(1).to_numpy(), b.column(2).to_numpy())
+            out: list[tuple] = []
+            for k in np.flatnonzero(found):
+                r, m = int(root[k]), int(blocks[k])
+                text = b.column(0)[int(k)].as_py()
+                if m == 1:
+                    out.append((-1 - r % groups, 0, 0, r, 0, text))
+                else:
+                    own = xxhash.xxh3_64_intdigest(f"{b.column(1)[int(k)]},{b.column(2)[int(k)]}".encode()) % m
+                    out += [(r, min(own, o), max(own, o), r, own, text) for o in range(m)]
+                if len(out) >= 500:
+                    yield _rows_of(out)
+                    out = []
+            if out:
+                yield _rows_of(out)
+        trim()
+
+    def check(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
+        out: list[tuple] = []
+        for _, g in pdf.groupby("root", sort=False):
+            grams = [ngram_set(x, n) for x in g["text"]]
+            ids, side = np.array([set_id(s) for s in grams]), g["side"].to_numpy()
+            x, y = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+            similar = _similar([grams[k] for k in x], [grams[k] for k in y], t)
+            if lo == hi:
+                np.fill_diagonal(similar, False)
+            else:
+                out += [(ids[y[k]], None, int(v)) for k, v in enumerate(similar.sum(0)) if v]
+            out += [(ids[x[k]], None, int(v)) for k, v in enumerate(similar.sum(1)) if v]
+            names = np.concatenate([ids[x], ids[y]])
+            out += [(names[i], names[j], None) for i, j in _forest(similar) if names[i] != names[j]]
+        cols = zip(*out) if out else ([], [], [])
+        return pd.DataFrame({c: pd.array([None if v is None else int(v) for v in x], "Int64") for c, x in zip(("a", "b", "links"), cols)})
+
+    texts = place.select("text", FILE, ROW).mapInArrow(spread, "g long, lo int, hi int, root long, side int, text string")
+    return texts.groupBy("g", "lo", "hi").applyInPandas(check, "a long, b long, links long")
+
+
+def _rows_of(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows))
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["g", "lo", "hi", "root", "side", "text"])
+
+
+def _classes(docs: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, class_id, n_copies, n_links) of every doc_id, and (doc_id, __file, __row) of the rows of docs, located."""
     spark = docs.sparkSession
-    docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scanned = cut(_read_sets(docs, n))
-    ids = cut(scanned.where("chunk = -1").select("a", "b", "c", "d").mapInArrow(_unpack, "doc_id long, sid long, size int, bits binary"))
-    total = ids.count()
-    sketch = spark.sparkContext.broadcast(_sketches(scanned))
-    boundary = choose_boundary(_costs(docs, sketch, n, threshold), threshold)
+    place = located(docs).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", FILE, ROW)
+    scanned = stored(_read_sets(place, n))
+    rows = scanned.where("chunk = -1").drop("chunk", "counts")
+    ids = rows.where("sid is not null")
+    sets = ids.groupBy("sid").agg(F.min(F.struct("doc_id", FILE, ROW)).alias("least"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
+    sets = stored(sets.select("sid", "size", "bits", "keys", *[F.col("least")[c].alias(c) for c in ("doc_id", FILE, ROW)]))
+    near = cut(_plausible(_near_keys(sets), sets, t))
+    known = components(near, "a", "b").withColumnRenamed("v", "sid")
+    marks = sets.join(known, "sid").select(FILE, ROW, F.col("root").alias("label"))
+    stands = sets.select(FILE, ROW)
+    marks = marks.unionByName(ids.select(FILE, ROW).join(stands, [FILE, ROW], "left_anti").withColumn("label", F.lit(-1).cast("long")))
+    total = sets.count()
     tasks = max(4, math.ceil(total / (4 * _ROWS_A_PART)))
-    postings = _postings(docs, sketch, n, threshold, boundary, max(_LEAST_PARTS, 4 * tasks))
-    seen = cut(_candidates(postings, threshold, boundary, tasks))
-    sets = cut(ids.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bits").alias("bits")))
-    reps = sets.select("sid", "doc_id")
-    candidates = cut(seen.where("not weak").select("a", "b").unionByName(_plausible(seen.where("weak").select("a", "b"), sets, threshold)))
-    found = _verify(docs, reps, candidates, n, threshold)
-    a, b = reps.select(F.col("sid").alias("a"), F.col("doc_id").alias("x")), reps.select(F.col("sid").alias("b"), F.col("doc_id").alias("y"))
-    near = found.join(a, "a").join(b, "b").where("x <> y")
-    near = near.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"), "jaccard")
-    named = reps.withColumnRenamed("doc_id", "name")
-    same = ids.select("doc_id", "sid").distinct().join(named, "sid").where("doc_id <> name")
-    same = same.select(F.col("name").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
-    return near.unionByName(same).groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
-
-
-def deduplicate(docs: DataFrame, **params) -> DataFrame:
-    """docs with one document of each group of similar ones, that of the least doc_id; all columns kept.
-
-    Groups are the connected components of similar_pairs. Of rows that repeat a doc_id one stays. Rows
-    without doc_id or without a word are in no group and stay.
+    sketch = spark.sparkContext.broadcast(_sketches(scanned))
+    boundary = choose_boundary(_costs(place, sketch, n, t), t)
+    postings = _postings(place, RowMap(marks, ("label",)), sketch, n, t, boundary, max(_LEAST_PARTS, 4 * tasks))
+    across = cut(_plausible(_candidates(postings, t, boundary, tasks), sets, t))
+    sketch.destroy()
+    found = cut(_verify(place, sets, components(near.unionByName(across), "a", "b"), n, t))
+    links = found.where("b is null").groupBy(F.col("a").alias("sid")).agg(F.sum("links").alias("links"))
+    # a doc_id with several texts holds their sets together
+    of_doc = ids.groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).where("a <> z")
+    bridges = ids.join(of_doc, "doc_id").select("a", F.col("sid").alias("b")).where("a <> b")
+    roots = components(found.where("b is not null").select("a", "b").unionByName(bridges), "a", "b").withColumnRenamed("v", "sid")
+    copies = ids.groupBy("sid").agg(F.count_distinct("doc_id").alias("copies"))
+    named = copies.join(sets.select("sid", F.col("doc_id").alias("least")), "sid").join(roots, "sid", "left").join(links, "sid", "left")
+    named = named.withColumn("root", F.coalesce("root", "sid"))
+    named = named.join(named.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("sid", "class_id", "copies", "links")
+    out = rows.select("doc_id", "sid").distinct().join(named, "sid", "left").groupBy("doc_id").agg(
+        F.coalesce(F.min("class_id"), F.col("doc_id")).alias("class_id"),
+        F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).cast("long").alias("n_copies"),
+        F.coalesce(F.sum("links"), F.lit(0)).cast("long").alias("n_links"),
+    )
+    return out, rows.select("doc_id", FILE, ROW)
+
+
+def similarity_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, n_copies, n_links) for every doc_id of docs: the join of all pairs of documents whose sets
+    of word n-grams reach the threshold of Jaccard similarity, told per document.
+
+    Words are runs of word characters in lower case. n_copies counts the other documents that have the same set,
+    n_links the different sets that reach the threshold with the document's own: each similar pair of different
+    sets is found and counted, for any number of partners. class_id is the least doc_id that similar pairs lead
+    to, the document's own if it has none.
+
+    Exact but for collisions of 56-bit hashes. Of equal sets one stands for all. A set of size s may lack m =
+    s - ceil(t s) n-grams in a partner, so with n-grams ordered by rarity partners share k of their m + k rarest.
+    Small sets (size under a boundary) enumerate the 2-subsets of their m + 2 rarest and meet in equal subsets;
+    sets from t x boundary on list their m + 1 rarest in inverted lists, which are scanned for pairs with a large
+    set, under length and positional bounds; so are sets so small that one common n-gram may do. The boundary is
+    the one of least estimated cost, rarity an estimate from all documents in a table of fixed size. Candidates
+    must pass a bitmap bound and are counted by comparing whole components of candidates, block by block.
+
+    Near copies never become pairs: minimum-hash keys first link sets with the least set of their key, these
+    groups are compared as wholes anyhow, and lists only form pairs of different groups.
+
+    Texts that are null or have no word are alone in their class. Rows without doc_id are left out. Rows that
+    repeat a doc_id make one document: its sets are in one class, its counts are added up over distinct sets.
+    Texts shorter than n words have one n-gram, the whole text. Empty tables give no rows; other columns are ignored.
+    """
+    return _classes(docs, n, threshold)[0]
+
+
+def deduplicate(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """docs with one document of each class of similarity_classes, that of the least doc_id; all columns kept.
+
+    Of rows that repeat a doc_id one stays. Rows without doc_id stay, and so does a document without a word. Which
+    rows go is told by their places in the files, so texts don't move. An empty table gives no rows.
     """
-    groups = components(similar_pairs(docs, **params), "doc_id_a", "doc_id_b")
-    gone = cut(groups.where("v <> root").select(F.col("v").alias("doc_id")))
-    kept = join_keys(docs, gone, "doc_id", "left_anti")
-    again = cut(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if not again.isEmpty():
-        kept = join_keys(kept, again, "doc_id", "left_anti").unionByName(join_keys(kept, again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept
+    docs = located(docs)
+    kept = [c for c in docs.columns if c not in (FILE, ROW)]
+    classes, rows = _classes(docs.select("doc_id", "text", FILE, ROW), n, threshold)
+    gone = rows.join(classes.where("class_id <> doc_id").select("doc_id"), "doc_id", "left_semi")
+    first = rows.groupBy("doc_id").agg(F.min(F.struct(FILE, ROW)).alias("x"), F.count("*").alias("n")).where("n > 1")
+    again = rows.join(first, "doc_id").where(F.struct(FILE, ROW) != F.col("x"))
+    mark = RowMap(gone.select(FILE, ROW).unionByName(again.select(FILE, ROW)).distinct())
+    return docs.where(~mark.column()).select(*[F.col(f"`{c}`") for c in kept])
 
 
 SQL = f"""
-with d as (select doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') w from documents where doc_id is not null and text is not null),
-s as (select doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - {N - 1}, 1) + 1), lambda k: array_to_string(w[k:k + {N - 1}], ' ')))) g from d where len(w) > 0),
-class as (select min(doc_id) x, g from s group by g),
+with recursive d as (select doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') w from documents where doc_id is not null),
+s as (select distinct doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - {N - 1}, 1) + 1), lambda k: array_to_string(w[k:k + {N - 1}], ' ')))) g from d where len(w) > 0),
+class as (select min(doc_id) x, count(distinct doc_id) n, g from s group by g),
 flat as (select x, len(g) size, unnest(g) tok from class),
 shared as (select a.x a, b.x b, a.size sa, b.size sb, count(*) n from flat a join flat b on a.tok = b.tok and a.x < b.x and least(a.size, b.size) >= {THRESHOLD} * greatest(a.size, b.size) - 1e-9 group by all),
-near as (select a doc_id_a, b doc_id_b, n / (sa + sb - n) jaccard from shared where n / (sa + sb - n) >= {THRESHOLD} - 1e-12),
-same as (select distinct class.x doc_id_a, s.doc_id doc_id_b, cast(1 as double) jaccard from s join class using (g) where s.doc_id <> class.x)
-select doc_id_a, doc_id_b, max(jaccard) jaccard from (select * from near union all select * from same) group by all
+near as (select a, b from shared where n / (sa + sb - n) >= {THRESHOLD} - 1e-12),
+ends as (select a, b from near union all select b, a from near),
+links as (select a x, count(*) n from ends group by a),
+reach as (select x v, x root from class union select e.b, r.root from reach r join ends e on e.a = r.v),
+roots as (select v x, min(root) class_id from reach group by v)
+select doc_id, coalesce(min(class_id), doc_id) class_id, cast(coalesce(sum(class.n - 1), 0) as bigint) n_copies, cast(coalesce(sum(links.n), 0) as bigint) n_links
+from (select distinct doc_id from d) left join s using (doc_id) left join class using (g) left join roots using (x) left join links using (x) group by doc_id
 """

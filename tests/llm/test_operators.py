@@ -66,9 +66,18 @@ def brute_scores(rows, good):
             raw[f] = raw.get(f, 0) + 1
             if i in good:
                 trusted[f] = trusted.get(f, 0) + 1
-    nb, nr, nt = quality_rules.BUCKETS + 1, sum(raw.values()), sum(trusted.values())
-    w = {f: round(1e6 * (math.log((trusted.get(f, 0) + 1) / (nt + nb)) - math.log((c + 1) / (nr + nb)))) if nt else 0 for f, c in raw.items()}
-    return [(i, len(feats(t)), sum(w[f] for f in feats(t))) for i, t, _ in rows]
+    nb, nr, nt, a = quality_rules.BUCKETS + 1, sum(raw.values()), sum(trusted.values()), quality_rules.ALPHA
+    s = a * nt / max(nr, 1)
+    out = []
+    for i, t, _ in rows:
+        fs, total = feats(t), 0
+        mine = i in good
+        for f in set(fs) if nt else ():
+            own = fs.count(f)
+            g = math.log((trusted.get(f, 0) - own * mine + s) / (nt - len(fs) * mine + s * nb))
+            total += own * round(1e6 * (g - math.log((raw[f] - own + a) / (nr - len(fs) + a * nb))))
+        out.append((i, len(fs), total))
+    return out
 
 
 def test_quality_rules_match_brute_force(spark, docs, rows):
@@ -90,6 +99,8 @@ def test_quality_rules_match_brute_force(spark, docs, rows):
 def test_quality_rules_without_trusted_or_rows(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long")
     assert {r.score for r in quality_rules.scored(docs, none).where("n_features > 0").collect()} == {0.0}
+    kept = quality_rules.filter_quality(docs, none)
+    assert {r.score for r in kept.select("score").collect()} == {"clash"} and kept.count() == quality_rules.scored(docs, none).where("n_features > 0").count()
     assert quality_rules.scored(empty, none).count() == 0
     assert quality_rules.filter_quality(docs, none).columns == docs.columns
 
@@ -106,7 +117,7 @@ def test_quality_rules_table_grows_with_the_features(spark, docs, rows, monkeypa
     b = quality_rules.BUCKETS
     monkeypatch.setattr(quality_rules, "BUCKETS", 1 << 20)
     want = {i: (n, total) for i, n, total in brute_scores(rows, set(range(0, 60, 2)))}
-    assert seen == [sum(n for n, _ in ((len(quality_rules.features(t)), 0) for _, t, _ in rows))] and b < 1 << 20
+    assert seen == [len(quality_rules.features_of([t for _, t, _ in rows])[0])] and b < 1 << 20
     for r in grown:
         n, total = want[r.doc_id]
         assert r.n_features == n and (not n or abs(r.score - total / n / 1e6) < 2e-6)
@@ -367,19 +378,83 @@ def brute_pairs(rows, n, t):
     return out
 
 
-@pytest.mark.parametrize("boundary,t", [(None, 0.7), (2, 0.7), (41, 0.5), (15, 0.8)])
+def brute_classes(rows, n, t):
+    sets = {}
+    for i, x, _ in rows:
+        ws = re.findall(r"\w+", (x or "").lower())
+        if i is not None:
+            sets.setdefault(i, set())
+            if ws:
+                sets[i].add(frozenset(tuple(ws[k : k + n]) for k in range(max(1, len(ws) - n + 1))))
+    every = sorted({s for ss in sets.values() for s in ss}, key=sorted)
+    of = {s: [i for i, ss in sets.items() if s in ss] for s in every}
+    near = {s: [z for z in every if z is not s and len(s & z) / len(s | z) >= t - 1e-12] for s in every}
+    parent = {i: i for i in sets}
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for s in every:
+        for z in [s, *near[s]]:
+            for i in of[z]:
+                x, y = sorted((find(of[s][0]), find(i)))
+                parent[y] = x
+    return sorted((i, find(i), sum(len(of[s]) - 1 for s in ss), sum(len(near[s]) for s in ss)) for i, ss in sets.items())
+
+
+def tiny_rows(first, r):
+    """Sets of one to six n-grams out of a few words, many of them similar."""
+    return [(first + k, " ".join(r.choice("abc") for _ in range(r.randint(1, 7))), "s") for k in range(70)]
+
+
+@pytest.mark.parametrize("boundary,t", [(None, 0.7), (2, 0.3), (41, 0.5), (5, 0.5), (15, 0.9)])
 def test_jaccard_join_matches_brute_force(spark, docs, rows, empty, boundary, t, monkeypatch):
     if boundary:
         monkeypatch.setattr(jaccard, "choose_boundary", lambda costs, t: boundary)
-    monkeypatch.setattr(jaccard, "_BLOCK", 7)
+    monkeypatch.setattr(jaccard, "_BLOCK_SETS", 7)
     r = random.Random(9)
     base = [text(r.randint(2, 30), r) for _ in range(12)]
-    extra = [(600 + k, edited(base[k % 12], 0.05, r), "s") for k in range(60)]
-    got = {(r.doc_id_a, r.doc_id_b): r.jaccard for r in jaccard.similar_pairs(docs.select("doc_id", "text", "sid").unionByName(docs_of(spark, extra).select("doc_id", "text", F.lit("x").alias("sid"))), threshold=t).collect()}
-    want = brute_pairs(rows + extra, 2, t)
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    extra = [(600 + k, edited(base[k % 12], 0.05, r), "s") for k in range(60)] + tiny_rows(700, r) + [(600, "another text of a row that repeats its id", "s")]
+    both = docs.select("doc_id", "text", "sid").unionByName(docs_of(spark, extra).select("doc_id", "text", F.lit("x").alias("sid")))
+    got = sorted((r.doc_id, r.class_id, r.n_copies, r.n_links) for r in jaccard.similarity_classes(both, threshold=t).collect())
+    assert got == brute_classes(rows + extra, 2, t)
     if boundary is None:
-        assert jaccard.similar_pairs(empty).count() == 0
+        assert jaccard.similarity_classes(empty).count() == 0
+
+
+def test_jaccard_join_without_hints_finds_the_same(spark, docs, rows, monkeypatch):
+    """Posting lists alone, without groups of near copies, lead to every similar pair; and with groups of all sets there are none."""
+    monkeypatch.setattr(jaccard, "_near_keys", lambda sets: sets.limit(0).select(F.col("sid").alias("a"), F.col("sid").alias("b")))
+    got = sorted((r.doc_id, r.class_id, r.n_copies, r.n_links) for r in jaccard.similarity_classes(docs, threshold=0.6).collect())
+    assert got == brute_classes(rows, 2, 0.6)
+
+
+def test_pairs_of_lists():
+    r = np.random.default_rng(1)
+    for small, boundary, t in [(False, 4, 0.7), (True, 9, 0.7), (False, 2, 0.4)]:
+        n = 300
+        sid = r.integers(0, 60, n)
+        size, group = (sid * 7) % 8 + 2, np.where(sid < 20, 1, sid)
+        tok, pos = r.integers(0, 40, n).astype(np.uint32), r.integers(0, 2, n).astype(np.int32)
+        first = {}
+        for k in range(n):
+            first.setdefault((tok[k], sid[k]), k)
+        keep = sorted(first.values())
+        got = set()
+        for most in (7, 10**6):
+            got = {(int(a), int(b)) for x, y in jaccard._pairs_of(tok[keep], np.stack([sid, group], 1)[keep], size[keep].astype(np.int32), pos[keep], small, t, boundary, most) for a, b in zip(x, y)}
+            want = set()
+            for i in keep:
+                for j in keep:
+                    lo, hi = sorted((size[i], size[j]))
+                    if tok[i] == tok[j] and sid[i] < sid[j] and group[i] != group[j] and t * hi <= lo + 1e-9:
+                        if small or ((hi >= boundary or t * hi <= 1) and min(size[i] - pos[i], size[j] - pos[j]) >= math.ceil(t / (1 + t) * (lo + hi) - 1e-9)):
+                            want.add((int(sid[i]), int(sid[j])))
+            assert got == want
+
+
+def test_overlaps():
+    r = random.Random(6)
+    xs, ys = ([np.array(sorted(r.sample(range(90), r.randint(1, 40))), np.uint64) for _ in range(m)] for m in (37, 23))
+    got = jaccard.overlaps(xs, ys)
+    assert all(got[i, j] == len(set(x.tolist()) & set(y.tolist())) for i, x in enumerate(xs) for j, y in enumerate(ys))
 
 
 def test_deduplicate_keeps_one_of_each_group(spark, docs, rows):
@@ -431,7 +506,7 @@ def brute_leaks(rows, items, n, t):
     return {k: (v[0], v[2], -v[1]) for k, v in out.items()}
 
 
-@pytest.mark.parametrize("shipped", [2_000_000, 0])
+@pytest.mark.parametrize("shipped", [2_000_000, 40])
 def test_decontamination_matches_brute_force(spark, rows, empty, shipped):
     r = random.Random(6)
     items = [(k, text(r.randint(6, 40), r)) for k in range(8)] + [(20, "two words"), (21, "tiny"), (22, ""), (23, None), (None, "x y z"), (24, "aa bb " * 12)]
@@ -466,27 +541,64 @@ def test_min_cost_flow_is_optimal():
         assert sum(n for a, b, n in flows if a != b) == sum(max(0, n - caps.get(x, 0)) for x, n in sizes.items())
 
 
-def test_resharding(spark, docs, rows, empty, tmp_path):
-    got = sharding.assign(docs, new_shards=2, blocks=64)
+def brute_shards(rows, sizes, flows):
+    """(doc_id, old, new) of every row: documents of a shard in the order of their hash, each where it begins."""
+    size = lambda t: len((t or "").encode())
+    key = lambda i: (int(hashlib.md5(f"{sharding.SEED}:{'' if i is None else i}".encode()).hexdigest()[:15], 16), -(1 << 63) if i is None else i)
+    out = []
+    for shard in sizes:
+        parts, at = [], 0
+        for old, new, n in flows:
+            if old == shard:
+                parts.append((at, new))
+                at += n
+        begin = 0
+        of_id = {}
+        for i, t, s in rows:
+            if (s or "") == shard:
+                of_id[key(i)] = of_id.get(key(i), []) + [(i, size(t))]
+        for k in sorted(of_id):
+            new = [to for lo, to in parts if lo <= begin][-1]
+            out += [(i, shard, new) for i, _ in of_id[k]]
+            begin += sum(n for _, n in of_id[k])
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("blocks", [1, 64, 1 << 20])
+def test_resharding(spark, docs, rows, empty, tmp_path, blocks):
+    got = sharding.assign(docs, new_shards=2, blocks=blocks)
     assert got.columns == [c for c in docs.columns if c not in ("old_shard", "moved")] + ["old_shard", "new_shard", "moved"] and got.count() == len(rows)
     size = lambda t: len((t or "").encode())
-    sizes, new, blocks = {}, {}, {}
+    sizes, new = {}, {}
+    for i, t, s in rows:
+        sizes[s or ""] = sizes.get(s or "", 0) + size(t)
     for r in got.collect():
-        sizes[r.old_shard] = sizes.get(r.old_shard, 0) + size(r.text)
         new[r.new_shard] = new.get(r.new_shard, 0) + size(r.text)
         assert r.moved == (r.old_shard != r.new_shard)
     cap = math.ceil(sum(sizes.values()) / 6)
-    biggest = max(size(t) for _, t, _ in rows) + 2000
-    assert all(n <= cap + 4 * biggest for n in new.values()) and set(sizes) == {"", "s0", "s1", "s2"}
+    flows = sharding.min_cost_flow(sizes, {s: cap for s in [*sizes, "new0", "new1"]})
+    assert sorted([(r.doc_id, r.old_shard, r.new_shard) for r in got.collect()], key=str) == brute_shards(rows, sizes, flows)
+    biggest = max(size(t) for _, t, _ in rows)
+    assert all(n < cap + biggest * sum(to == x for _, to, _ in flows) for x, n in new.items())
+    if blocks > 1:
+        return
     assert sharding.assign(empty).count() == 0
     root = str(tmp_path / "out")
     plain = docs.select("doc_id", "text", "source")
     sharding.assign(plain, new_shards=0, capacities={s: 10**9 for s in ("", "s0", "s1", "s2")}).drop("old_shard", "moved").write.partitionBy("new_shard").parquet(root)
-    touched = sharding.rewrite(plain, root, new_shards=2, blocks=64)
+    touched = sharding.rewrite(plain, root, new_shards=2)
     back = spark.read.parquet(root)
     assert back.count() == len(rows) and touched and set(touched) <= {"", "s0", "s1", "s2", "new0", "new1"}
 
 
+def test_flows_between_many_shards_are_found_quickly():
+    r = random.Random(1)
+    sizes = {f"{k:06d}": r.randint(0, 1000) for k in range(20_000)}
+    cap = math.ceil(sum(sizes.values()) / 20_000)
+    flows = sharding.min_cost_flow(sizes, {s: cap for s in sizes})
+    assert sum(n for a, b, n in flows if a != b) == sum(max(0, n - cap) for n in sizes.values())
+
+
 def test_resharding_writes_and_drops_emptied_shards(spark, docs, rows, tmp_path, monkeypatch):
     plain = docs.select("doc_id", "text", "source")
     for name in ("s0", ""):  # the old shard has no capacity: all of its rows move and its folder goes
