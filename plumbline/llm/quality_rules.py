@@ -11,6 +11,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import join_keys
+from plumbline.llm.common import FILE, ROW, RowMap, located, rows_of, text_slices, trim
 
 #: A token is a run of word characters or a run of other visible characters, as written.
 TOKEN = re.compile(r"\w+|[^\w\t\n\f\r ]+")
@@ -31,16 +32,17 @@ CHUNK = 1 << 18
 _MUL = 1_000_003
 #: Micro-nats a feature; below it a document goes.
 THRESHOLD = -250_000
-ALPHA = 1.0
+#: Pseudo-occurrences of a bucket in the raw corpus; in the trusted one they count by its share of all features.
+ALPHA = 16.0
 #: Features, and then distinct ones, that a task holds.
-_HELD = 2_000_000
+_HELD = 1_000_000
 
 
 class _Md5(dict):
     """token -> the first 28 bits of its md5."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= 100_000:
             self.clear()
         h = self[token] = int(hashlib.md5(token.encode("utf-8", "surrogatepass")).hexdigest()[:7], 16)
         return h
@@ -49,25 +51,30 @@ class _Md5(dict):
 _HASH = _Md5()
 
 
-def features(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
-    """Buckets of the tokens and of the token pairs; a token that follows itself counts in bucket `buckets`."""
-    toks = TOKEN.findall(text) if text else []
-    h = np.fromiter(map(_HASH.__getitem__, toks), np.int64, len(toks))
+def features_of(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """(text, bucket) of the tokens and of the token pairs of texts; a token that follows itself counts in bucket `buckets`."""
+    split = [TOKEN.findall(t) if t else [] for t in texts]
+    lens = np.array([len(x) for x in split], np.int64)
+    h = np.fromiter(map(_HASH.__getitem__, chain.from_iterable(split)), np.int64, int(lens.sum()))
+    text = np.repeat(np.arange(len(texts)), lens)
     pairs = (h[:-1] * _MUL + h[1:]) % buckets
     pairs[h[:-1] == h[1:]] = buckets
-    return np.concatenate([h % buckets, pairs])
+    inside = text[:-1] == text[1:]
+    return np.concatenate([text, text[:-1][inside]]), np.concatenate([h % buckets, pairs[inside]])
 
 
-def feature_totals(flagged: DataFrame) -> tuple[int, int]:
-    """Features of (all documents, trusted documents), counted by a pass over the texts. flagged: text, __trusted."""
+def feature_totals(flagged: DataFrame, trusted: RowMap) -> tuple[int, int]:
+    """Features of (all documents, trusted documents), counted by a pass over the texts. flagged: text, __file, __row."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = [0, 0]
-        for batch in batches:
-            for text, good in zip(batch.column(0), batch.column(1)):
-                t = text.as_py()
-                n[good.as_py() or 0] += max(0, 2 * len(TOKEN.findall(t)) - 1) if t else 0
-        yield pa.RecordBatch.from_pydict({"n": pa.array([sum(n)], pa.int64()), "good": pa.array([n[1]], pa.int64())})
+        n = np.zeros(2, np.int64)
+        for b in batches:
+            good = trusted.find(b.column(1).to_numpy(), b.column(2).to_numpy())[0]
+            for start, texts in text_slices(b.column(0)):
+                for k, t in enumerate(texts, start):
+                    size = max(0, 2 * len(TOKEN.findall(t)) - 1) if t else 0
+                    n += (size, size * good[k])
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n[0]], pa.int64()), "good": pa.array([n[1]], pa.int64())})
 
     r = flagged.mapInArrow(count, "n long, good long").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     return r.n or 0, r.good or 0
@@ -82,11 +89,11 @@ def _packed(at: np.ndarray, raw: np.ndarray, good: np.ndarray) -> bytes:
     return zlib.compress(np.stack([np.diff(at, prepend=0), raw, good]).astype(np.uint32).tobytes(), 1)
 
 
-def ngram_counts(flagged: DataFrame, buckets: int) -> DataFrame:
+def ngram_counts(flagged: DataFrame, trusted: RowMap, buckets: int) -> DataFrame:
     """(chunk, counts) rows to be summed: the feature counts of all and of trusted documents, sparse and packed.
 
     Each task sorts its features and counts those it has, so neither what it holds nor what is shuffled grows
-    with the table of buckets; a chunk is a range of CHUNK buckets. flagged: text, __trusted.
+    with the table of buckets; a chunk is a range of CHUNK buckets. flagged: text, __file, __row.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,10 +122,13 @@ def ngram_counts(flagged: DataFrame, buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "counts": pa.array([_packed(p[0] - c * CHUNK, p[1], p[2])], pa.binary())})
             sums = np.zeros((3, 0), np.int64)
 
-        for batch in batches:
-            for text, good in zip(batch.column(0), batch.column(1)):
-                f = features(text.as_py(), buckets)
-                held[good.as_py() or 0].append(f)
+        for b in batches:
+            good = trusted.find(b.column(1).to_numpy(), b.column(2).to_numpy())[0]
+            for start, texts in text_slices(b.column(0)):
+                text, f = features_of(texts, buckets)
+                mine = good[text + start]
+                held[0].append(f[~mine])
+                held[1].append(f[mine])
                 size += len(f)
                 if size > _HELD:
                     merge()
@@ -126,58 +136,72 @@ def ngram_counts(flagged: DataFrame, buckets: int) -> DataFrame:
                         yield from flush()
         merge()
         yield from flush()
+        trim()
 
     return flagged.mapInArrow(count, "chunk int, counts binary")
 
 
-def log_ratios(raw: np.ndarray, good: np.ndarray, totals: tuple[int, int], buckets: int, alpha: float = ALPHA) -> np.ndarray:
-    """log(p_trusted / p_raw) of each bucket in whole micro-nats, both smoothed by alpha; all 0 with no trusted text."""
-    nr, nt = totals
-    if not nt:
-        return np.zeros(len(raw), np.int32)
-    nt, nr = math.log(nt + alpha * (buckets + 1)), math.log(nr + alpha * (buckets + 1))
-    return np.rint(((np.log(good + alpha) - nt) - (np.log(raw + alpha) - nr)) * 1e6).astype(np.int32)
+def log_ratios(raw: np.ndarray, good: np.ndarray, n_raw: np.ndarray | int, n_good: np.ndarray | int, share: float, buckets: int, alpha: float = ALPHA) -> np.ndarray:
+    """log(p_trusted / p_raw) in whole micro-nats of buckets with these counts. Both are smoothed alike: a bucket
+    that nothing is known of has ratio 1."""
+    a = alpha * share
+    good = np.log(good + a) - np.log(n_good + a * (buckets + 1))
+    return np.rint((good - (np.log(raw + alpha) - np.log(n_raw + alpha * (buckets + 1)))) * 1e6).astype(np.int64)
 
 
-def weights_file(counts: DataFrame, totals: tuple[int, int], buckets: int, alpha: float = ALPHA) -> str:
-    """Name of an added file of buckets + 1 log ratios (int32), for SparkFiles.
+def counts_file(counts: DataFrame, buckets: int) -> str:
+    """Name of an added file of buckets + 1 pairs (raw count, trusted count; uint32), for SparkFiles.
 
-    Chunks are summed and turned into ratios by the executors and pass the driver one partition at a time on
-    their way into the file. Workers map it, so those of an executor share its pages and none holds it as a whole.
+    Chunks are summed by the executors and pass the driver one partition at a time on their way into the
+    file. Workers map it, so those of an executor share its pages and none holds it as a whole.
     """
 
-    def ratios(pdf: pd.DataFrame) -> pd.DataFrame:
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
         chunk = int(pdf["chunk"].iloc[0])
-        both = np.zeros((2, min(CHUNK, buckets + 1 - chunk * CHUNK)), np.int64)
+        both = np.zeros((min(CHUNK, buckets + 1 - chunk * CHUNK), 2), np.int64)
         for x in pdf["counts"]:
             p = np.frombuffer(zlib.decompress(x), np.uint32).reshape(3, -1)
-            both[:, np.cumsum(p[0], dtype=np.int64)] += p[1:]
-        w = log_ratios(both[0], both[1], totals, buckets, alpha)
-        return pd.DataFrame({"chunk": [chunk], "weights": [zlib.compress(w.tobytes(), 1)]})
+            both[np.cumsum(p[0], dtype=np.int64)] += p[1:].T
+        return pd.DataFrame({"chunk": [chunk], "counts": [zlib.compress(np.minimum(both, 2**32 - 1).astype(np.uint32).tobytes(), 1)]})
 
     spark = counts.sparkSession
-    folder = tempfile.mkdtemp(prefix="plumbline-")
+    folder = tempfile.mkdtemp(prefix="plumbline-")  # the driver's copy of what addFile sends
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    name = f"ratios-{uuid.uuid4().hex}"
-    out = np.memmap(f"{folder}/{name}", np.int32, "w+", shape=(buckets + 1,))
+    name = f"counts-{uuid.uuid4().hex}"
+    out = np.memmap(f"{folder}/{name}", np.uint32, "w+", shape=(buckets + 1, 2))
     # a bucket of a chunk that nothing fell into is never looked up
-    for r in counts.groupBy("chunk").applyInPandas(ratios, "chunk int, weights binary").toLocalIterator():
-        w = np.frombuffer(zlib.decompress(r.weights), np.int32)
+    for r in counts.groupBy("chunk").applyInPandas(add, "chunk int, counts binary").toLocalIterator():
+        w = np.frombuffer(zlib.decompress(r.counts), np.uint32).reshape(-1, 2)
         out[r.chunk * CHUNK : r.chunk * CHUNK + len(w)] = w
     out.flush()
+    del out
     spark.sparkContext.addFile(f"{folder}/{name}")
     return name
 
 
-def _scorer(name: str, buckets: int):
+def score_texts(texts: list[str | None], good: np.ndarray, table: np.ndarray, totals: tuple[int, int], buckets: int, alpha: float = ALPHA) -> np.ndarray:
+    """(micro-nats, features) of each text, its own features left out of both multinomials."""
+    out = np.zeros((len(texts), 2), np.int64)
+    text, f = features_of(texts, buckets)
+    out[:, 1] = np.bincount(text, minlength=len(texts))
+    if len(f) and totals[1]:
+        key, own = np.unique(text * (buckets + 1) + f, return_counts=True)
+        text, f = key // (buckets + 1), key % (buckets + 1)
+        both, mine, n = table[f].astype(np.int64), good[text], out[text, 1]
+        w = log_ratios(both[:, 0] - own, both[:, 1] - own * mine, totals[0] - n, totals[1] - n * mine, totals[1] / totals[0], buckets, alpha)
+        np.add.at(out[:, 0], text, w * own)
+    return out
+
+
+def _scorer(name: str, trusted: RowMap, totals: tuple[int, int], buckets: int, alpha: float):
     @F.pandas_udf("struct<total: bigint, n: bigint>")
-    def score(texts: pd.Series) -> pd.DataFrame:
-        w = np.memmap(SparkFiles.get(name), np.int32, "r")
-        out = np.zeros((len(texts), 2), np.int64)
-        for k, t in enumerate(texts):
-            f = features(t, buckets)
-            out[k] = w[f].sum(dtype=np.int64), len(f)
-        return pd.DataFrame(out, columns=["total", "n"])
+    def score(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        table = np.memmap(SparkFiles.get(name), np.uint32, "r").reshape(-1, 2)
+        for texts, files, rows in batches:
+            good = trusted.find(files.to_numpy(), rows.to_numpy())[0]
+            out = [score_texts(list(texts[k : k + 500]), good[k : k + 500], table, totals, buckets, alpha) for k in range(0, len(texts), 500)]
+            yield pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["total", "n"])
+        trim()
 
     return score
 
@@ -185,29 +209,43 @@ def _scorer(name: str, buckets: int):
 def scored(docs: DataFrame, trusted: DataFrame, threshold: int = THRESHOLD, buckets: int | None = None, alpha: float = ALPHA) -> DataFrame:
     """docs with n_features, score (mean log ratio of a feature, in nats) and keep, for every row.
 
-    trusted holds the doc_ids of the trusted target (others in it are ignored, repeats count once). Sums are
-    whole micro-nats, so score and keep don't depend on how rows are spread over tasks. A text that is null or
-    has no token has 0 features, a null score, and isn't kept. Rows that repeat count as often as they are there.
-    Without trusted documents every ratio is 0 and each document with a token is kept. Columns of docs named
-    n_features, score or keep are replaced.
+    trusted holds the doc_ids of the trusted target (others in it are ignored, repeats count once). A document's
+    own features are left out of both multinomials when it is scored, so trusted documents have no better
+    scores than others of their kind; both are smoothed towards the same distribution, so features that no other
+    document has say nothing. Ratios are whole micro-nats, so score and keep don't depend on how rows are spread
+    over tasks. A text that is null or has no token has 0 features, a null score, and isn't kept. Rows that
+    repeat count as often as they are there. Without trusted documents every ratio is 0 and each document with
+    a token is kept. Columns of docs named n_features, score or keep are replaced.
 
     Without a number of buckets, the table grows with the counted features (buckets_for): up to LOAD * BUCKETS
-    features it is the table of the SQL.
+    features it is the table of the SQL. Which rows are trusted is told by their place in the files, so texts don't move.
     """
-    flagged = join_keys(docs.select("doc_id", "text"), trusted.select("doc_id").distinct().withColumn("__trusted", F.lit(True)), "doc_id", "left").select("text", "__trusted")
-    totals = feature_totals(flagged)
+    return _scored(docs, trusted, threshold, buckets, alpha).select(
+        *[F.col(f"`{c}`") for c in docs.columns if c not in ("n_features", "score", "keep")], F.col("__s.n").alias("n_features"), _mean().alias("score"), _keep(threshold).alias("keep")
+    )
+
+
+def _mean():
+    return F.when(F.col("__s.n") > 0, F.col("__s.total") / (F.col("__s.n") * 1_000_000))
+
+
+def _keep(threshold: int):
+    return (F.col("__s.n") > 0) & (F.col("__s.total") >= F.col("__s.n") * threshold)
+
+
+def _scored(docs: DataFrame, trusted: DataFrame, threshold: int, buckets: int | None, alpha: float) -> DataFrame:
+    place = located(docs)
+    good = RowMap(rows_of(place, trusted))
+    flagged = place.select("text", FILE, ROW)
+    totals = feature_totals(flagged, good)
     buckets = buckets or buckets_for(totals[0])
-    score = _scorer(weights_file(ngram_counts(flagged, buckets), totals, buckets, alpha), buckets)
-    out = docs.drop("n_features", "score", "keep").withColumn("__s", score(F.col("text")))
-    n, total = F.col("__s.n"), F.col("__s.total")
-    out = out.withColumn("n_features", n).withColumn("score", F.when(n > 0, total / (n * 1_000_000)))
-    return out.withColumn("keep", (n > 0) & (total >= n * threshold)).drop("__s")
+    score = _scorer(counts_file(ngram_counts(flagged, good, buckets), buckets), good, totals, buckets, alpha)
+    return place.withColumn("__s", score("text", FILE, ROW))
 
 
-def filter_quality(docs: DataFrame, trusted: DataFrame, **params) -> DataFrame:
-    """The rows of docs that scored() keeps, with the columns of docs."""
-    s = scored(docs, trusted, **params).where("keep")
-    return s.select(*[c for c in docs.columns])
+def filter_quality(docs: DataFrame, trusted: DataFrame, threshold: int = THRESHOLD, buckets: int | None = None, alpha: float = ALPHA) -> DataFrame:
+    """The rows of docs that scored() keeps, with the columns of docs as they are."""
+    return _scored(docs, trusted, threshold, buckets, alpha).where(_keep(threshold)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -218,17 +256,19 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 SQL = f"""
 with toks as (
   select row_number() over () r, doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\t\\n\\f\\r ]+') ts from documents),
+good as (select distinct doc_id from labels where quality = 1 and doc_id is not null),
 hs as (select r, doc_id, list_transform(coalesce(ts, []), lambda t: cast('0x' || substr(md5(t), 1, 7) as bigint)) h from toks),
 fs as (
-  select r, doc_id, list_concat(list_transform(h, lambda x: x % {BUCKETS}),
-    list_transform(range(1, len(h)), lambda k: case when h[k] = h[k + 1] then {BUCKETS} else (h[k] * {_MUL} + h[k + 1]) % {BUCKETS} end)) f from hs),
-flat as (select r, doc_id, unnest(f) b from fs),
-good as (select distinct doc_id from labels where quality = 1 and doc_id is not null),
-counts as (select b, count(*) cr, count(g.doc_id) ct from flat left join good g using (doc_id) group by b),
-totals as (select sum(cr) nr, sum(ct) nt from counts),
+  select r, doc_id, case when g.doc_id is null then 0 else 1 end mine, list_concat(list_transform(h, lambda x: x % {BUCKETS}),
+    list_transform(range(1, len(h)), lambda k: case when h[k] = h[k + 1] then {BUCKETS} else (h[k] * {_MUL} + h[k + 1]) % {BUCKETS} end)) f from hs left join good g using (doc_id)),
+flat as (select r, mine, len(f) n, unnest(f) b from fs),
+own as (select r, mine, n, b, count(*) o from flat group by all),
+counts as (select b, sum(o) cr, sum(o * mine) ct from own group by b),
+totals as (select cast(sum(cr) as bigint) nr, cast(sum(ct) as bigint) nt, {ALPHA} * (nt / nr) a from counts),
 ratios as (
-  select b, cast(round_even(((ln(ct + {ALPHA}) - ln(nt + {ALPHA} * {BUCKETS + 1})) - (ln(cr + {ALPHA}) - ln(nr + {ALPHA} * {BUCKETS + 1}))) * 1e6, 0) as bigint) w from counts, totals),
-sums as (select r, cast(sum(w) as bigint) total, count(*) n from flat join ratios using (b) group by r)
+  select r, n, o, case when nt = 0 then 0 else cast(round_even(((ln(ct - o * mine + a) - ln(nt - n * mine + a * {BUCKETS + 1})) - (ln(cr - o + {ALPHA}) - ln(nr - n + {ALPHA} * {BUCKETS + 1}))) * 1e6, 0) as bigint) end w
+  from own join counts using (b), totals),
+sums as (select r, cast(sum(w * o) as bigint) total, any_value(n) n from ratios group by r)
 select fs.doc_id, coalesce(n, 0) n_features, total / (n * 1000000) score, coalesce(total >= n * ({THRESHOLD}), false) keep
 from fs left join sums using (r)
 """
