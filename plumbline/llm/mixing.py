@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, join_keys
+from plumbline.llm.common import RowMap, cut, located, rows_of
 
 #: Target weights of the production mix; sources that aren't named get DEFAULT_WEIGHT.
 WEIGHTS = {"src0": 2.0, "src1": 3.0, "src2": 0.5, "src3": 1.5}
@@ -15,6 +15,7 @@ DEFAULT_WEIGHT = 1.0
 BUDGET_FRACTION = 0.6
 SEED = "mix-1"
 _ROWS_A_BLOCK = 50_000
+_MOST_RANGES = 100_000
 
 
 def token_count(text: Column) -> Column:
@@ -35,7 +36,7 @@ def weight_of(source: Column, weights: dict[str, float], default: float) -> Colu
     return w
 
 
-def fair_queue(
+def _served(
     docs: DataFrame,
     weights: dict[str, float] = WEIGHTS,
     default_weight: float = DEFAULT_WEIGHT,
@@ -43,21 +44,6 @@ def fair_queue(
     budget_fraction: float = BUDGET_FRACTION,
     seed: str = SEED,
 ) -> DataFrame:
-    """The documents that a weighted fair queue serves before the token budget is used up, in its order.
-
-    Columns: doc_id, source, tokens, source_tokens (cumulative within the source, in shuffled order),
-    virtual_finish (source_tokens / weight), total_tokens (cumulative over the queue; at most the budget).
-    The order is virtual_finish, source (null first), shuffle key, doc_id.
-
-    The cumulative sums are taken in two levels, so no task ever holds a whole source (sources may be
-    hot) or the whole queue: sums of (source, block) and of finish-time bins are small tables whose prefix
-    sums are added to the running sum within a block. The result doesn't depend on the block counts.
-
-    Null or empty text has 0 tokens and is served when its turn comes. A null source is a source of its
-    own with the default weight. Sources of weight 0 or less are never served. Rows that repeat a doc_id
-    are one entry: their tokens add up, the least source counts. Rows without doc_id are left out.
-    An empty table gives no rows. Other columns are ignored.
-    """
     light = docs.select("doc_id", "source", token_count(F.col("text")).alias("tokens")).where("doc_id is not null")
     light = light.groupBy("doc_id").agg(F.min("source").alias("source"), F.sum("tokens").alias("tokens"))
     light = light.withColumn("k", shuffle_key(F.col("doc_id"), seed)).withColumn("w", weight_of(F.col("source"), weights, default_weight))
@@ -75,22 +61,42 @@ def fair_queue(
     q = q.withColumn("source_tokens", F.col("base") + F.sum("tokens").over(inside))
     q = q.withColumn("virtual_finish", F.col("source_tokens") / F.col("w"))
     q = cut(q.select("doc_id", "source", "tokens", "source_tokens", "virtual_finish", "k"))
-    # level 2: bins of finish time
-    last = q.agg(F.max("virtual_finish")).first()[0] or 0.0
-    q = q.withColumn("bin", F.floor(F.col("virtual_finish") / F.lit(max(last, 1e-9) / blocks)).cast("int"))
+    # level 2: ranges of the queue, cut at sampled rows so that they are alike in rows whatever the weights
+    order = ["virtual_finish", F.col("source").asc_nulls_first(), "k", "doc_id"]
+    q = cut(q.repartitionByRange(min(blocks, _MOST_RANGES), *order).withColumn("bin", F.spark_partition_id()))
     earlier = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = q.groupBy("bin").agg(F.sum("tokens").alias("t"))
     bins = bins.select("bin", F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("base")).where(F.col("base") <= budget)
-    order = ["virtual_finish", F.col("source").asc_nulls_first(), "k", "doc_id"]
     served = Window.partitionBy("bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     q = q.join(bins, "bin").withColumn("total_tokens", F.col("base") + F.sum("tokens").over(served))
-    q = q.where(F.col("total_tokens") <= budget).orderBy(*order)
+    return q.where(F.col("total_tokens") <= budget)
+
+
+def fair_queue(docs: DataFrame, *args, **params) -> DataFrame:
+    """The documents that a weighted fair queue serves before the token budget is used up, in its order.
+
+    Columns: doc_id, source, tokens, source_tokens (cumulative within the source, in shuffled order),
+    virtual_finish (source_tokens / weight), total_tokens (cumulative over the queue; at most the budget).
+    The order is virtual_finish, source (null first), shuffle key, doc_id. Parameters: those of _served.
+
+    The cumulative sums are taken in two levels, so no task ever holds a whole source (sources may be
+    hot) or the whole queue: sums of (source, block) and of ranges of the queue are small tables whose prefix
+    sums are added to the running sum within a block. The result doesn't depend on the block counts.
+
+    Null or empty text has 0 tokens and is served when its turn comes. A null source is a source of its
+    own with the default weight. Sources of weight 0 or less are never served. Rows that repeat a doc_id
+    are one entry: their tokens add up, the least source counts. Rows without doc_id are left out.
+    An empty table gives no rows. Other columns are ignored.
+    """
+    q = _served(docs, *args, **params).orderBy("virtual_finish", F.col("source").asc_nulls_first(), "k", "doc_id")
     return q.select("doc_id", "source", "tokens", "source_tokens", "virtual_finish", "total_tokens")
 
 
 def mix(docs: DataFrame, **params) -> DataFrame:
-    """The rows of docs, all columns kept, whose doc_id the fair queue serves (see fair_queue)."""
-    return join_keys(docs, cut(fair_queue(docs, **params).select("doc_id")), "doc_id", "left_semi")
+    """The rows of docs, all columns kept, whose doc_id the fair queue serves (see fair_queue). Texts don't move."""
+    place = located(docs)
+    kept = RowMap(rows_of(place, _served(docs, **params)))
+    return place.where(kept.column()).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _weight_sql(weights: dict[str, float], default: float) -> str:
