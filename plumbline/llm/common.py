@@ -164,15 +164,6 @@ def without(docs: DataFrame, keys: DataFrame, on: str = "doc_id") -> DataFrame:
     return place.where(~gone.column()).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-BROADCAST_ROWS = 1_000_000
-
-
-def join_keys(df: DataFrame, keys: DataFrame, on: str, how: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join df with a checkpointed key table: broadcast it if its counted rows are few, else shuffle."""
-    few = keys.limit(max_rows + 1).count() <= max_rows
-    return df.join(F.broadcast(keys) if few else keys, on, how)
-
-
 class WordHashes(dict):
     """word -> 64-bit hash, filled on demand, emptied when it gets large."""
 

@@ -4,21 +4,22 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import HASHES, cut, join_keys, shingle_hashes, word_hashes, words
+from plumbline.llm.common import HASHES, cut, shingle_hashes, text_slices, trim, without, word_hashes, words
 
 #: Words in a shingle.
 N = 5
 #: Share of an item's distinct shingles that one window of the item's length must hold.
 THRESHOLD = 0.8
-#: Benchmarks of up to so many distinct shingles are shipped to the tasks that read documents; beyond it, shingles are joined by shuffle.
-SHIPPED_SHINGLES = 2_000_000
+#: Benchmark shingles that are broadcast at once; the documents are read again for the next so many.
+SHIPPED_SHINGLES = 4_000_000
+_SIEVE = 1 << 22
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -41,69 +42,97 @@ def item_shingles(items: DataFrame, n: int = N) -> DataFrame:
     return items.where("item_id is not null").select(F.col("item_id").cast("long"), "text").mapInArrow(explode, "item_id long, item_words int, ipos int, tok long")
 
 
-def _hits(docs: DataFrame, known, vocabulary, n: int, short: set[int]) -> DataFrame:
-    """(doc_id, pos, tok, n_words) of the documents' shingles, those in known only if it is given."""
+def _hits(docs: DataFrame, known, n: int, short: set[int]) -> DataFrame:
+    """(doc_id, pos, tok, n_words) of the documents' shingles that are in known."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toks, vocab = (known.value, vocabulary.value) if known is not None else (None, None)
-        sizes = sorted({n, *short})
+        toks = known.value
+        sieve = np.zeros(_SIEVE, bool)  # a look at it spares most shingles the search
+        sieve[(toks & np.uint64(_SIEVE - 1)).view(np.int64)] = True
         for b in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ws = words(text.as_py())
-                if not ws:
-                    continue
-                if vocab is not None:
-                    seen = np.fromiter((w in vocab for w in ws), np.bool_, len(ws))
-                    if not seen.any():
-                        continue
-                    gaps = np.concatenate([[0], np.cumsum(~seen)])
-                h = None
-                for m in sizes:
-                    if m > len(ws):
+            for start, texts in text_slices(b.column(0)):
+                split = [words(t) for t in texts]
+                lens = np.array([len(w) for w in split], np.int64)
+                h = np.fromiter(map(HASHES.__getitem__, chain.from_iterable(split)), np.uint64, int(lens.sum()))
+                doc = np.repeat(np.arange(len(texts)), lens)
+                begin = np.repeat(np.cumsum(lens) - lens, lens)
+                for m in sorted({n, *short}):
+                    if m > len(h):
                         continue
-                    if vocab is None:
-                        h = word_hashes(ws) if h is None else h
-                        at, t = np.arange(len(ws) - m + 1), shingle_hashes(h, m)
-                    else:
-                        at = np.flatnonzero(gaps[m:] == gaps[:-m])
-                        if not len(at):
-                            continue
-                        if h is None:
-                            h = np.zeros(len(ws), np.uint64)
-                            inside = np.flatnonzero(seen)
-                            h[inside] = word_hashes([ws[k] for k in inside])
-                        t = shingle_hashes(h, m)[at]
-                        ok = toks[np.minimum(np.searchsorted(toks, t), len(toks) - 1)] == t
-                        at, t = at[ok], t[ok]
-                    for col, x in zip(out, (np.full(len(at), doc, np.int64), at.astype(np.int32), _signed(np.ascontiguousarray(t)), np.full(len(at), len(ws), np.int32))):
-                        col.append(x)
-            if out[0]:
-                yield pa.RecordBatch.from_pydict({k: np.concatenate(c) for k, c in zip(("doc_id", "pos", "tok", "n_words"), out)})
-
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id long, pos int, tok long, n_words int")
-
-
-def _best_windows(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each item of one document: the largest number of distinct item shingles in a window of the item's length."""
-    rows = []
-    for item, g in pdf.groupby("item_id", sort=False):
-        g = g.sort_values("pos", kind="stable")
-        pos, tok, span = g["pos"].to_numpy(), g["tok"].to_numpy(), int(g["span"].iloc[0])
-        count: dict[int, int] = {}
-        best, start, low = 0, 0, 0
-        for k in range(len(pos)):
-            count[tok[k]] = count.get(tok[k], 0) + 1
-            while pos[k] - pos[low] >= span:
-                count[tok[low]] -= 1
-                if not count[tok[low]]:
-                    del count[tok[low]]
-                low += 1
-            if len(count) > best:
-                best, start = len(count), int(pos[low])
-        if best >= g["need"].iloc[0]:
-            rows.append((pdf["doc_id"].iloc[0], item, best, int(g["size"].iloc[0]), start))
-    return pd.DataFrame(rows, columns=["doc_id", "item_id", "matched", "size", "start_word"])
+                    t = shingle_hashes(h, m)
+                    at = np.flatnonzero(sieve[(t & np.uint64(_SIEVE - 1)).view(np.int64)])
+                    at = at[doc[at] == doc[at + m - 1]]
+                    at = at[toks[np.minimum(np.searchsorted(toks, t[at]), len(toks) - 1)] == t[at]]
+                    if len(at):
+                        ids = b.column(1).take(pa.array(doc[at] + start))
+                        yield pa.RecordBatch.from_arrays([ids, pa.array((at - begin[at]).astype(np.int32)), pa.array(_signed(np.ascontiguousarray(t[at]))), pa.array(lens[doc[at]].astype(np.int32))], names=["doc_id", "pos", "tok", "n_words"])
+        trim()
+
+    return docs.where("doc_id is not null").select("text", F.col("doc_id").cast("long")).mapInArrow(scan, "doc_id long, pos int, tok long, n_words int")
+
+
+def best_windows(pair: np.ndarray, pos: np.ndarray, tok: np.ndarray, span: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first row, matched, start) of the pairs some of whose windows of span positions have need distinct tokens or more.
+
+    Rows are ordered by pair and position; span and need are alike within a pair. A window's distinct tokens are
+    its rows less those whose token was in it before.
+    """
+    rows = len(pair)
+    if not rows:
+        return (np.zeros(0, np.int64),) * 3
+    at = np.arange(rows)
+    group = np.cumsum(np.concatenate([[0], pair[1:] != pair[:-1]]))
+    wide = int(pos.max()) + int(span.max()) + 2
+    place = group * wide + pos
+    end = np.searchsorted(place, place + span, "left")  # never beyond the group
+    count = end - at
+    order = np.lexsort((at, tok, group))
+    same = (group[order][1:] == group[order][:-1]) & (tok[order][1:] == tok[order][:-1])
+    before, after = order[:-1][same], order[1:][same]
+    # row `after` repeats its token in the windows that begin in (begin of those that reach it, before]
+    delta = np.zeros(rows + 1, np.int64)
+    low = np.searchsorted(place, place[after] - span[after], "right")
+    inside = low <= before
+    np.add.at(delta, low[inside], 1)
+    np.add.at(delta, before[inside] + 1, -1)
+    count = count - np.cumsum(delta[:-1])
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    most = np.maximum.reduceat(count, starts)
+    hit = at[count == most[group]]
+    _, k = np.unique(group[hit], return_index=True)
+    good = most >= need[starts]
+    return starts[good], most[good], pos[hit[k]][good]
+
+
+def _windows(found: DataFrame) -> DataFrame:
+    """The best windows of rows that come ordered by document, item and position; a pair may go over from batch to batch."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(x: list[np.ndarray]) -> pa.RecordBatch:
+            doc, item, pos, tok, need, span, size = x
+            pair = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])) if len(doc) else doc
+            first, matched, start = best_windows(pair, pos.astype(np.int64), tok, span.astype(np.int64), need)
+            return pa.RecordBatch.from_pydict({"doc_id": doc[first], "item_id": item[first], "matched": matched.astype(np.int32), "size": size[first].astype(np.int32), "start_word": start.astype(np.int32)})
+
+        held: list[list[np.ndarray]] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = [c.to_numpy() for c in b.columns]
+            last = np.flatnonzero((new[0] != new[0][-1]) | (new[1] != new[1][-1]))
+            if len(last):
+                k = last[-1] + 1
+                yield out([np.concatenate(c) for c in zip(*held, [c[:k] for c in new])])
+                held = [[c[k:] for c in new]]
+            elif held and (held[-1][0][-1] != new[0][0] or held[-1][1][-1] != new[1][0]):
+                yield out([np.concatenate(c) for c in zip(*held)])
+                held = [new]
+            else:
+                held.append(new)
+        if held:
+            yield out([np.concatenate(c) for c in zip(*held)])
+
+    return found.mapInArrow(scan, "doc_id long, item_id long, matched int, size int, start_word int")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, n: int = N, threshold: float = THRESHOLD, shipped: int = SHIPPED_SHINGLES) -> DataFrame:
@@ -114,30 +143,34 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = N, threshold: float
     contains at least ceil(threshold x size) of them; matched is the most in any window, start_word its first
     matching word (the first such window on ties), containment is matched / size. The result is exact.
 
-    One pass reads the documents and emits only positions of shingles that some item has. Their document
-    frequency, over all documents, orders each item's shingles by rarity; only the size - need + 1 rarest are
-    joined to find candidates. Length bound: the document has at least need shingles. Positional bound: only
-    hits within an item's length of a prefix hit are verified, each in item-sized windows.
+    Documents are read once for each `shipped` benchmark shingles, which are broadcast; only positions of
+    shingles that some item has leave the scan, texts don't move. Their document frequency, over all documents,
+    orders each item's shingles by rarity; only the size - need + 1 rarest are joined to find candidates. Length
+    bound: the document has at least need shingles. Positional bound: a pair must have a hit of its prefix in a
+    window, and windows, of the item's length, are counted for such pairs only.
 
     Null or wordless texts and items hold nothing and are in nothing; rows without id are left out. Repeated
     items are separate items if their ids differ; rows repeating an id count as one document or item that
     has the hits of all its rows. Empty tables give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    ish = item_shingles(items, n).distinct()
-    ish = cut(ish)
+    ish = cut(item_shingles(items, n).distinct())
     # an item of fewer than n words is one shingle of its own length
     short = {r[0] for r in ish.where(F.col("item_words") < n).select("item_words").distinct().collect()}
     sets = ish.groupBy("item_id", "tok").agg(F.max("item_words").alias("item_words"))
-    n_toks = ish.select("tok").distinct().count()
-    if n_toks <= shipped:
-        toks = np.sort(np.array([r.tok for r in ish.select("tok").distinct().collect()], np.int64).view(np.uint64))
-        vocab = {w for r in items.select("text").collect() for w in words(r.text)}
-        known, vocabulary = spark.sparkContext.broadcast(toks), spark.sparkContext.broadcast(frozenset(vocab))
-        hits = _hits(docs, known, vocabulary, n, short) if n_toks else _hits(docs.limit(0), None, None, n, short)
-    else:
-        hits = _hits(docs, None, None, n, short).join(ish.select("tok").distinct(), "tok", "left_semi")
-    hits = cut(hits)
+    toks = cut(ish.select("tok").distinct())
+    passes = max(1, math.ceil(toks.count() / shipped))
+    parts, sent = [], []
+    for k in range(passes):
+        some = toks.where(F.pmod(F.xxhash64("tok"), F.lit(passes)) == k).toArrow().column("tok").to_numpy().astype(np.int64)
+        if len(some):
+            sent.append(spark.sparkContext.broadcast(np.sort(some.view(np.uint64))))
+            parts.append(cut(_hits(docs, sent[-1], n, short)))
+    hits = parts[0] if parts else spark.createDataFrame([], "doc_id long, pos int, tok long, n_words int")
+    for x in parts[1:]:
+        hits = hits.unionByName(x)
+    for x in sent:
+        x.destroy()
     df = hits.groupBy("tok").agg(F.countDistinct("doc_id").alias("df"))
     rank = Window.partitionBy("item_id").orderBy("df", "tok")
     whole = Window.partitionBy("item_id")
@@ -146,20 +179,18 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = N, threshold: float
     ranked = ranked.withColumn("need", F.ceil(F.col("size") * F.lit(threshold) - F.lit(1e-9)).cast("int"))
     ranked = ranked.withColumn("span", F.greatest(F.col("words") - F.least(F.lit(n), F.col("words")) + 1, F.lit(1)))
     prefix = ranked.where(F.col("r") <= F.col("size") - F.col("need") + 1).select("tok", "item_id", "need", "span")
-    anchors = hits.join(prefix, "tok").where(F.col("n_words") - n + 1 >= F.when(F.col("span") > 1, F.col("need")).otherwise(F.lit(-n)))
-    anchors = anchors.select("doc_id", "item_id", F.col("pos").alias("anchor")).distinct()
-    near = anchors.groupBy("doc_id", "item_id").agg(F.array_sort(F.collect_set("anchor")).alias("anchors"))
-    found = hits.join(ranked.select("tok", "item_id", "need", "span", "size"), "tok").join(near, ["doc_id", "item_id"])
-    found = found.where(F.exists("anchors", lambda a: F.abs(a - F.col("pos")) < F.col("span")))
-    found = found.select("doc_id", "item_id", "pos", "tok", "need", "span", "size").distinct()
-    best = found.groupBy("doc_id").applyInPandas(_best_windows, "doc_id long, item_id long, matched int, size int, start_word int")
+    long_enough = F.col("n_words") - n + 1 >= F.when(F.col("span") > 1, F.col("need")).otherwise(F.lit(-n))
+    pairs = cut(hits.join(prefix, "tok").where(long_enough).select("doc_id", "item_id").distinct())
+    wanted = pairs.join(ranked.select("item_id", "tok", "need", "span", F.col("size").cast("int").alias("size")), "item_id")
+    found = hits.select("doc_id", "pos", "tok").join(wanted, ["doc_id", "tok"]).select("doc_id", "item_id", "pos", "tok", "need", "span", "size").distinct()
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(pairs.count() / 20_000))
+    best = _windows(found.repartition(tasks, "doc_id", "item_id").sortWithinPartitions("doc_id", "item_id", "pos"))
     return best.select("doc_id", "item_id", "matched", (F.col("matched") / F.col("size")).alias("containment"), "start_word")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **params) -> DataFrame:
-    """The rows of docs, all columns kept, that hold no benchmark item. Rows without doc_id or text stay."""
-    bad = cut(contaminated(docs, items, **params).select("doc_id").distinct())
-    return join_keys(docs, bad, "doc_id", "left_anti")
+    """The rows of docs, all columns kept, that hold no benchmark item. Rows without doc_id or text stay; an empty table gives no rows."""
+    return without(docs, contaminated(docs, items, **params).select("doc_id"))
 
 
 SQL = f"""
