@@ -6,14 +6,15 @@ import math
 import uuid
 from collections import deque
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.common import shared_dir
 
-#: Blocks into which each old shard is cut; a block moves as a whole.
-BLOCKS = 1024
+#: Blocks into which an old shard is cut to find where its bytes part; 2^_KEY_BITS keys order its documents.
+BLOCKS = 1 << 12
+_KEY_BITS = 60
 #: Empty shards that the production query adds to the old ones, all of one capacity.
 NEW_SHARDS = 4
 SEED = "shard-1"
@@ -24,9 +25,10 @@ FILE_BYTES = 128 << 20
 def min_cost_flow(sizes: dict[str, int], capacities: dict[str, int]) -> list[tuple[str, str, int]]:
     """(old, new, bytes) flows that place all bytes within the capacities and move the fewest.
 
-    Successive shortest paths on source -> old -> new -> sink, where staying costs 0 and every move runs
-    over one hub edge of cost 1, so edges grow with the shards and not with their pairs. What passes the
-    hub is matched in label order. Raises ValueError if the capacities can't hold the bytes.
+    A primal-dual flow on source -> old -> new -> sink, where staying costs 0 and every move runs over one hub
+    edge of cost 1: so edges grow with the shards and not with their pairs, and a phase sends all it can along
+    shortest paths, each edge looked at once. What passes the hub is matched in label order. Raises ValueError
+    if the capacities can't hold the bytes.
     """
     if sum(sizes.values()) > sum(capacities.values()):
         raise ValueError("the new capacities hold less than the old shards")
@@ -51,23 +53,45 @@ def min_cost_flow(sizes: dict[str, int], capacities: dict[str, int]) -> list[tup
         into[x] = edge(hub, node["n", x], capacities[x], 0)
         edge(node["n", x], sink, capacities[x], 0)
     while True:
-        dist, via, queue = {src: 0}, {}, deque([src])
+        dist, queue = {src: 0}, deque([src])
         while queue:  # label-correcting: residual costs may be -1
             a = queue.popleft()
             for e in adj[a]:
                 if room[e] and dist[a] + cost[e] < dist.get(to[e], math.inf):
-                    dist[to[e]], via[to[e]] = dist[a] + cost[e], e
+                    dist[to[e]] = dist[a] + cost[e]
                     queue.append(to[e])
         if sink not in dist:
             break
-        path, b = [], sink
-        while b != src:
-            path.append(via[b])
-            b = to[via[b] ^ 1]
-        push = min(room[e] for e in path)
-        for e in path:
-            room[e] -= push
-            room[e ^ 1] += push
+        # all paths of that length; edges of cost 0 may lead in circles, so a node is entered once a path
+        nxt, path, on, gone = [0] * len(adj), [], {src}, set()
+        a = src
+        while True:
+            if a == sink:
+                push = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= push
+                    room[e ^ 1] += push
+                k = next(k for k, e in enumerate(path) if not room[e])
+                for e in path[k:]:
+                    on.discard(to[e])
+                a = to[path[k] ^ 1]
+                del path[k:]
+                continue
+            while nxt[a] < len(adj[a]):
+                e = adj[a][nxt[a]]
+                if room[e] and to[e] not in on and to[e] not in gone and dist.get(to[e]) == dist[a] + cost[e]:
+                    break
+                nxt[a] += 1
+            else:
+                if a == src:
+                    break
+                gone.add(a)
+                on.discard(a)
+                a = to[path.pop() ^ 1]
+                continue
+            path.append(e)
+            a = to[e]
+            on.add(a)
     flows = [(x, x, room[e ^ 1]) for x, e in stay.items() if room[e ^ 1]]
     gives = deque((x, room[e ^ 1]) for x, e in sorted(out.items()) if room[e ^ 1])
     takes = deque((x, room[e ^ 1]) for x, e in sorted(into.items()) if room[e ^ 1])
@@ -81,9 +105,47 @@ def min_cost_flow(sizes: dict[str, int], capacities: dict[str, int]) -> list[tup
     return flows
 
 
-def _block(doc_id: Column, blocks: int, seed: str) -> Column:
-    key = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long")
-    return F.pmod(key, F.lit(blocks)).cast("int")
+_NO_ID = -(1 << 63)
+
+
+def _key(doc_id: Column, seed: str) -> Column:
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, _KEY_BITS // 4), 16, 10).cast("long")
+
+
+def _cuts(light: DataFrame, flows: list[tuple[str, str, int]], blocks: int) -> dict[str, list[tuple[int, int, str]]]:
+    """Old shard -> (key, id, new shard) from which on, in the order of keys and ids, its documents go to a shard.
+
+    light: shard, key, id, bytes. The bytes of a flow begin within one block of keys; the first document that
+    begins at or after them is found among that block's documents, so no task orders a whole shard.
+    """
+    cuts: dict[str, list[tuple[int, int, str]]] = {}
+    at: dict[str, int] = {}
+    inner = []
+    for old, new, size in flows:
+        lo = at.get(old, 0)
+        at[old] = lo + size
+        if lo == 0:
+            cuts.setdefault(old, []).append((-1, _NO_ID, new))
+        else:
+            inner.append((old, new, lo))
+    if not inner:
+        return cuts
+    spark = light.sparkSession
+    wide = (1 << _KEY_BITS) // blocks
+    light = light.withColumn("block", F.floor(F.col("key") / F.lit(wide)))
+    sums = light.groupBy("shard", "block").agg(F.sum("bytes").alias("bytes"))
+    upto = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.withColumn("end", F.sum("bytes").over(upto)).withColumn("base", F.col("end") - F.col("bytes"))
+    wanted = F.broadcast(spark.createDataFrame(inner, "old string, new string, lo long"))  # a row a flow, from the driver
+    split = sums.join(wanted, (F.col("shard") == F.col("old")) & (F.col("base") < F.col("lo")) & (F.col("lo") <= F.col("end"))).select("shard", "block", "base", "new", "lo")
+    docs = light.join(F.broadcast(split), ["shard", "block"]).groupBy("shard", "new", "lo", "base", "key", "id").agg(F.sum("bytes").alias("bytes"))
+    before = Window.partitionBy("shard", "new").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, -1)
+    begun = docs.withColumn("begin", F.col("base") + F.coalesce(F.sum("bytes").over(before), F.lit(0))).where("begin >= lo")
+    first = {(r.shard, r.new): r.x for r in begun.groupBy("shard", "new").agg(F.min(F.struct("key", "id")).alias("x")).collect()}
+    for r in split.collect():
+        x = first.get((r.shard, r.new))
+        cuts[r.shard].append((x.key, x.id, r.new) if x else ((r.block + 1) * wide, _NO_ID, r.new))
+    return cuts
 
 
 def assign(
@@ -93,54 +155,35 @@ def assign(
 
     Each value of shard_col is an old shard; its bytes are the UTF-8 bytes of text. capacities gives the
     bytes that each new shard may hold; without it, the old shards and new_shards empty ones (named new0,
-    new1, ...) share all bytes evenly. The flows are solved exactly for shard totals; then each old shard's
-    blocks (hash ranges of doc_id) are laid end to end, those that begin within the bytes that stay do stay,
-    and the rest go to the shard in whose part of the flow they begin. So a new shard exceeds its capacity
-    by at most a block for each flow into it. Only sums of shards and blocks reach the driver, text
-    isn't shuffled.
+    new1, ...) share all bytes evenly. The flows are solved exactly for shard totals. An old shard's documents,
+    in the order of a hash of doc_id, are laid end to end; those that begin within the bytes that stay do stay, and
+    the rest go to the shard in whose part of the flow they begin. So a new shard exceeds its capacity by less than
+    a document for each flow into it. Only sums of shards and where flows begin reach the driver; texts aren't shuffled.
 
     A null shard is the shard ''. Null text has 0 bytes; rows without doc_id are placed like one id, repeated
-    doc_ids stay together in their shard. Ties don't arise: blocks are numbered. An empty table gives no rows.
-    Columns of docs named old_shard, new_shard or moved are replaced.
+    doc_ids stay together in their shard. Ties don't arise: documents of one hash are ordered by doc_id. An empty
+    table gives no rows. Columns of docs named old_shard, new_shard or moved are replaced. The number of blocks
+    affects speed only.
     """
-    docs = docs.drop("old_shard", "new_shard", "moved") if shard_col not in ("old_shard", "new_shard") else docs
-    tagged = docs.withColumn("old_shard", F.coalesce(F.col(shard_col).cast("string"), F.lit(""))).withColumn("__block", _block(F.col("doc_id"), blocks, seed))
+    cols = [c for c in docs.columns if c not in ("old_shard", "new_shard", "moved")]
+    old = F.coalesce(F.col(f"`{shard_col}`").cast("string"), F.lit(""))
+    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
     spark = docs.sparkSession
-    shared_dir(spark)
-    sums = tagged.groupBy("old_shard", "__block").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).alias("bytes"))
-    # one row a shard: the bytes of its blocks, in order; shards x blocks numbers at most
-    rows = sums.groupBy("old_shard").agg(F.array_sort(F.collect_list(F.struct("__block", "bytes"))).alias("cells")).collect()
-    layout = {r.old_shard: [(c[0], c[1]) for c in r.cells] for r in rows}
-    sizes = {s: sum(b for _, b in cells) for s, cells in layout.items()}
+    light = docs.select(old.alias("shard"), _key(F.col("doc_id"), seed).alias("key"), ident.alias("id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
+    sizes = {r[0]: r[1] for r in light.groupBy("shard").agg(F.sum("bytes")).collect()}
     if capacities is None:
         names = sorted(sizes) + [f"new{k}" for k in range(new_shards)]
         capacities = {s: math.ceil(sum(sizes.values()) / len(names)) for s in names} if sizes else {}
-    parts: dict[str, list[tuple[str, int]]] = {}
-    for old, new, size in min_cost_flow(sizes, capacities):
-        parts.setdefault(old, []).append((new, size))
-    cuts = []
-    for old, cells in layout.items():
-        flows = parts.get(old) or [(old if old in capacities else sorted(capacities)[0], 0)]
-        ends, at = [], 0
-        for new, size in flows:
-            at += size
-            ends.append((at, new))
-        at, k = 0, 0
-        firsts: list[dict] = []
-        for block, size in cells:
-            while k < len(ends) - 1 and at >= ends[k][0]:
-                k += 1
-            if not firsts or firsts[-1]["shard"] != ends[k][1]:
-                firsts.append({"block": block, "shard": ends[k][1]})
-            at += size
-        cuts.append((old, firsts))
-    schema = T.StructType([T.StructField("old_shard", T.StringType()), T.StructField("__cuts", T.ArrayType(T.StructType([T.StructField("block", T.IntegerType()), T.StructField("shard", T.StringType())])))])
-    plan = spark.createDataFrame(cuts, schema)
-    if len(cuts) <= 10_000:
-        plan = F.broadcast(plan)  # a row a shard
-    placed = tagged.join(plan, "old_shard")
-    placed = placed.withColumn("new_shard", F.element_at(F.filter("__cuts", lambda c: c["block"] <= F.col("__block")), -1)["shard"])
-    return placed.select(*[c for c in docs.columns if c not in ("old_shard", "new_shard", "moved")], "old_shard", "new_shard", (F.col("old_shard") != F.col("new_shard")).alias("moved"))
+    flows = min_cost_flow(sizes, capacities)
+    placed = {x for x, _, _ in flows}
+    flows += [(x, x if x in capacities else sorted(capacities)[0], 0) for x in sizes if x not in placed]  # documents without a byte
+    cuts = _cuts(light, flows, blocks)
+    schema = T.StructType([T.StructField("__shard", T.StringType()), T.StructField("__cuts", T.ArrayType(T.StructType([T.StructField("key", T.LongType()), T.StructField("id", T.LongType()), T.StructField("to", T.StringType())])))])
+    plan = F.broadcast(spark.createDataFrame([(x, sorted(c)) for x, c in cuts.items()], schema))  # a row a shard and a cut a flow, from the driver
+    key = _key(F.col("doc_id"), seed)
+    new = F.element_at(F.filter("__cuts", lambda c: (c["key"] < F.col("__key")) | ((c["key"] == F.col("__key")) & (c["id"] <= F.col("__id")))), -1)["to"]
+    tagged = docs.select("*", old.alias("__old"), key.alias("__key"), ident.alias("__id")).join(plan, F.col("__old") == F.col("__shard"))
+    return tagged.select(*[F.col(f"`{c}`") for c in cols], F.col("__old").alias("old_shard"), new.alias("new_shard"), (F.col("__old") != new).alias("moved"))
 
 
 def _rewrite(placed: DataFrame, root: str, files_a_shard: int = 1) -> list[str]:
@@ -198,10 +241,10 @@ def sql(tail: str = "select doc_id, old_shard, new_shard, old_shard <> new_shard
     """The same plan as interval arithmetic: with costs of 0 and 1, matching surplus to room in label order is optimal."""
     return f"""
 with tagged as (
-  select *, coalesce(source, '') old_shard, cast(('0x' || substr(md5('{SEED}:' || coalesce(cast(doc_id as varchar), '')), 1, 8))::bigint % {BLOCKS} as int) block,
+  select *, coalesce(source, '') old_shard, cast('0x' || substr(md5('{SEED}:' || coalesce(cast(doc_id as varchar), '')), 1, {_KEY_BITS // 4}) as bigint) key,
     coalesce(octet_length(encode(text)), 0) bytes from {docs}),
-cells as (select old_shard, block, cast(sum(bytes) as bigint) bytes from tagged group by all),
-starts as (select *, cast(coalesce(sum(bytes) over (partition by old_shard order by block rows between unbounded preceding and 1 preceding), 0) as bigint) begin_at from cells),
+cells as (select old_shard, key, doc_id, cast(sum(bytes) as bigint) bytes from tagged group by all),
+starts as (select *, cast(coalesce(sum(bytes) over (partition by old_shard order by key, doc_id nulls first rows between unbounded preceding and 1 preceding), 0) as bigint) begin_at from cells),
 sizes as (select old_shard shard, cast(sum(bytes) as bigint) size from cells group by all),
 names as (select shard, size from sizes union all select 'new' || range, 0 from range({NEW_SHARDS}) where exists (select 1 from sizes)),
 caps as (select shard, size, cast(ceil((select sum(size) from sizes) / (select count(*) from names)) as bigint) cap from names),
@@ -211,6 +254,6 @@ flows as (
   select g.shard old_shard, t.shard new_shard, g.stay + greatest(g.hi - g.n, t.hi - t.n) - (g.hi - g.n) lo
   from gives g join takes t on g.n > 0 and t.n > 0 and g.hi > t.hi - t.n and t.hi > g.hi - g.n
   union all select shard, shard, 0 from gives),
-dest as (select s.old_shard, s.block, max_by(f.new_shard, f.lo) new_shard from starts s join flows f on f.old_shard = s.old_shard and f.lo <= s.begin_at group by all),
-placed as (select t.* exclude (block, bytes), d.new_shard from tagged t join dest d on t.old_shard = d.old_shard and t.block = d.block)
+dest as (select s.old_shard, s.key, s.doc_id, max_by(f.new_shard, f.lo) new_shard from starts s join flows f on f.old_shard = s.old_shard and f.lo <= s.begin_at group by all),
+placed as (select t.* exclude (key, bytes), d.new_shard from tagged t join dest d on t.old_shard = d.old_shard and t.key = d.key and t.doc_id is not distinct from d.doc_id)
 {tail}"""
