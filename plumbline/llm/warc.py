@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,9 +18,12 @@ _HEADERS = "array<struct<name: string, value: string>>"
 
 
 def pages_as_records(pages: DataFrame) -> DataFrame:
-    """(raw): the three WARC records of each page's capture, as bytes; the page's id goes into the metadata."""
+    """(raw): the three WARC records of each page's capture, as bytes; the page's id goes into the metadata.
+
+    A page is named by its id, url and html, so only rows that repeat all of them are one capture.
+    """
     pid = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
-    uid = lambda kind: F.concat(F.lit("<urn:md5:"), F.md5(F.concat(F.lit(kind), pid, F.lit(":"), F.coalesce("url", F.lit("")))), F.lit(">"))
+    uid = lambda kind: F.concat(F.lit("<urn:md5:"), F.md5(F.concat(F.lit(kind), pid, F.lit(":"), F.coalesce("url", F.lit("")), F.lit(":"), F.xxhash64("html").cast("string"))), F.lit(">"))
     url = F.coalesce("url", F.lit(""))
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1)
 
@@ -42,30 +46,48 @@ def pages_as_records(pages: DataFrame) -> DataFrame:
     return pages.select(F.explode(rows).alias("raw"))
 
 
+def records_of(f) -> Iterator[bytes]:
+    """The WARC records of an open file, one at a time; blank lines between them are skipped."""
+    while line := f.readline():
+        if not line.strip():
+            continue
+        head, size = [line], 0
+        while (line := f.readline()).strip():
+            head.append(line)
+            name, _, value = line.partition(b":")
+            if name.strip().lower() == b"content-length" and value.strip().isdigit():
+                size = int(value)
+        yield b"".join(head) + b"\r\n" + f.read(size)
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(raw): one row for each record of the .warc and .warc.gz files under path; each file is streamed by one task."""
+    """(raw): one row for each record of the .warc and .warc.gz files under path.
+
+    A task opens its files one after another and streams them: it holds a few MB of records, or one record.
+    """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         for b in batches:
-            for content in b.column(0).to_pylist():
-                f = io.BytesIO(content)
-                f = io.BufferedReader(gzip.GzipFile(fileobj=f)) if content[:2] == b"\x1f\x8b" else f
-                while True:
-                    line = f.readline()
-                    if not line:
-                        break
-                    if not line.strip():
-                        continue
-                    head = [line]
-                    size = 0
-                    while (line := f.readline()).strip():
-                        head.append(line)
-                        name, _, value = line.partition(b":")
-                        if name.strip().lower() == b"content-length":
-                            size = int(value)
-                    yield pa.RecordBatch.from_pydict({"raw": pa.array([b"".join(head) + b"\r\n" + f.read(size)], pa.binary())})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(split, "raw binary")
+            for name in b.column(0).to_pylist():
+                system, inner = fs.FileSystem.from_uri(name) if re.match("[A-Za-z][A-Za-z0-9+.-]*:/", name) else (fs.LocalFileSystem(), name)
+                with system.open_input_stream(inner, compression=None) as raw:
+                    f = io.BufferedReader(raw, 1 << 20)
+                    if f.peek(2)[:2] == b"\x1f\x8b":
+                        f = io.BufferedReader(gzip.GzipFile(fileobj=f), 1 << 20)
+                    held, size = [], 0
+                    for record in records_of(f):
+                        held.append(record)
+                        size += len(record)
+                        if size > 4_000_000:
+                            yield pa.RecordBatch.from_pydict({"raw": pa.array(held, pa.binary())})
+                            held, size = [], 0
+                    if held:
+                        yield pa.RecordBatch.from_pydict({"raw": pa.array(held, pa.binary())})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    return files.repartition(max(1, min(files.count(), 10_000)), "path").mapInArrow(split, "raw binary")
 
 
 def _lines(block: Column) -> Column:
@@ -81,24 +103,23 @@ def parsed(raw: DataFrame) -> DataFrame:
     Content-Length bytes after the header, or all that is there if it is missing. Rows that are null or don't
     begin with WARC/ are left out, fields that are missing are null.
     """
-    latin = F.decode("raw", "ISO-8859-1")  # a character a byte, so positions hold
-    end = F.instr(latin, _EOL * 2)
-    d = raw.where(F.col("raw").isNotNull()).withColumn("__h", F.when(end > 0, F.decode(F.substring(F.col("raw"), F.lit(1), end + 1), "UTF-8")).otherwise(F.decode("raw", "UTF-8")))
-    d = d.withColumn("__end", end).where(F.col("__h").startswith("WARC/"))
+    # a cast takes the bytes as they are: the header's end is found in bytes and the payload is never decoded
+    d = raw.where(F.col("raw").isNotNull()).select("raw", F.substring_index(F.col("raw").cast("string"), _EOL * 2, 1).alias("__h"))
+    d = d.where(F.col("__h").startswith("WARC/")).withColumn("__end", F.octet_length("__h"))
     get = lambda name: F.nullif(F.trim(F.regexp_extract("__h", rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1)), F.lit(""))
     size = F.coalesce(F.expr("try_cast(regexp_extract(__h, '(?im)^Content-Length:[ \\\\t]*([0-9]+)', 1) as int)"), F.octet_length("raw"))
     return d.select(
         get("WARC-Record-ID").alias("record_id"), F.lower(get("WARC-Type")).alias("type"), get("WARC-Target-URI").alias("target_uri"), get("WARC-Date").alias("date"),
         get("Content-Type").alias("content_type"), F.regexp_extract_all("__h", F.lit(r"(?im)^WARC-Concurrent-To:[ \t]*([^\r\n ]+)"), 1).alias("concurrent_to"),
-        F.when(F.col("__end") > 0, F.substring(F.col("raw"), F.col("__end") + 4, size)).alias("payload"),
+        F.when(F.col("__end") < F.octet_length("raw"), F.substring(F.col("raw"), F.col("__end") + 5, size)).alias("payload"),
     )
 
 
 def _http(payload: Column) -> tuple[Column, Column, Column]:
     """Start line, header lines and body of an HTTP message."""
-    end = F.instr(F.decode(payload, "ISO-8859-1"), _EOL * 2)
-    head = F.decode(F.when(end > 0, F.substring(payload, F.lit(1), end - 1)).otherwise(payload), "ISO-8859-1")
-    return F.regexp_extract(head, r"^([^\r\n]*)", 1), F.regexp_replace(head, r"^[^\r\n]*(\r\n)?", ""), F.when(end > 0, F.substring(payload, end + 4, F.octet_length(payload)))
+    head = F.substring_index(payload.cast("string"), _EOL * 2, 1)
+    end, size = F.octet_length(head), F.octet_length(payload)
+    return F.regexp_extract(head, r"^([^\r\n]*)", 1), F.regexp_replace(head, r"^[^\r\n]*(\r\n)?", ""), F.when(end < size, F.substring(payload, end + 5, size))
 
 
 def assembled(records: DataFrame) -> DataFrame:
@@ -158,7 +179,11 @@ def assembled(records: DataFrame) -> DataFrame:
 
 
 def captures_of_pages(pages: DataFrame) -> DataFrame:
-    """page_id and the assembled capture of every distinct (page_id, url) of pages, by way of their WARC records."""
+    """page_id and the assembled capture of every page, by way of its WARC records.
+
+    Rows that repeat page_id, url and html are one capture; those that differ in any are captures of their own. A
+    null url or html counts as empty, a null page_id is kept; other columns are ignored.
+    """
     c = assembled(parsed(pages_as_records(pages)))
     field = F.filter("metadata", lambda m: F.exists(m["fields"], lambda f: f["name"] == "page_id"))[0]["fields"]
     page = F.filter(field, lambda f: f["name"] == "page_id")[0]["value"]
