@@ -17,6 +17,8 @@ POOLED, IDENTITY = 0.1, 0.01
 THRESHOLD = -2.0
 #: Pseudo-count that draws ratios of short texts to a typical value, so they aren't judged by noise.
 PSEUDO = 30.0
+#: Statistics are summed as whole multiples of 1 / UNIT: the fit doesn't depend on the order of the rows.
+UNIT = 100_000_000
 STATS = ("x_len", "x_symbol", "x_upper", "x_distinct", "x_word", "x_digit")
 
 
@@ -78,13 +80,16 @@ class Discriminant:
         return total
 
 
-def fit(moments: dict[int, tuple[int, np.ndarray, np.ndarray]], pooled: float = POOLED, identity: float = IDENTITY) -> Discriminant | None:
-    """From class -> (rows, sums, sums of products); None if a class has no rows."""
+def fit(moments: dict[int, tuple[int, list[int], list[list[int]]]], pooled: float = POOLED, identity: float = IDENTITY) -> Discriminant | None:
+    """From class -> (rows, sums, sums of products) of statistics in units of 1 / UNIT; None if a class has no rows.
+
+    Sums are integers, so means and covariances are exact up to their last rounding, whatever cancels.
+    """
     if any(moments.get(k, (0,))[0] == 0 for k in (0, 1)):
         return None
-    mean = [moments[k][1] / moments[k][0] for k in (0, 1)]
-    cov = [moments[k][2] / moments[k][0] - np.outer(m, m) for k, m in zip((0, 1), mean)]
     n = [moments[k][0] for k in (0, 1)]
+    mean = [np.array([x / (n[k] * UNIT) for x in moments[k][1]]) for k in (0, 1)]
+    cov = [np.array([[(n[k] * xy - x * y) / (n[k] * UNIT) ** 2 for xy, y in zip(row, moments[k][1])] for row, x in zip(moments[k][2], moments[k][1])]) for k in (0, 1)]
     both = (n[0] * cov[0] + n[1] * cov[1]) / sum(n)
     whiten, logdet = [], []
     for c in cov:
@@ -96,20 +101,21 @@ def fit(moments: dict[int, tuple[int, np.ndarray, np.ndarray]], pooled: float =
     return Discriminant((mean[0], mean[1]), (whiten[0], whiten[1]), (logdet[0], logdet[1]), math.log(n[1] / n[0]))
 
 
-def class_moments(stats: DataFrame, labels: DataFrame) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
-    """Moments of the labelled documents by class: one row a class reaches the driver, whatever the input."""
+def class_moments(stats: DataFrame, labels: DataFrame) -> dict[int, tuple[int, list[int], list[list[int]]]]:
+    """Exact moments of the labelled documents by class: one row a class reaches the driver, whatever the input."""
     marks = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("__q")).distinct()
     pairs = [(i, j) for i in range(len(STATS)) for j in range(i + 1)]
-    rows = stats.where(F.col("x_len").isNotNull()).join(marks, "doc_id").groupBy("__q").agg(
-        F.count("*"), *[F.sum(c) for c in STATS], *[F.sum(F.col(STATS[i]) * F.col(STATS[j])) for i, j in pairs]
+    whole = stats.where(F.col("x_len").isNotNull()).select("doc_id", *[F.round(F.col(c) * UNIT).cast("long").alias(c) for c in STATS])
+    rows = whole.join(marks, "doc_id").groupBy("__q").agg(
+        F.count("*"), *[F.sum(F.col(c).cast("decimal(20,0)")) for c in STATS], *[F.sum((F.col(STATS[i]) * F.col(STATS[j])).cast("decimal(28,0)")) for i, j in pairs]
     )
     out = {}
     for r in rows.collect():
         d = len(STATS)
-        second = np.zeros((d, d))
+        second = [[0] * d for _ in range(d)]
         for (i, j), v in zip(pairs, r[2 + d :]):
-            second[i, j] = second[j, i] = v
-        out[r[0]] = (r[1], np.array(r[2 : 2 + d]), second)
+            second[i][j] = second[j][i] = int(v)
+        out[r[0]] = (r[1], [int(x) for x in r[2 : 2 + d]], second)
     return out
 
 

@@ -159,6 +159,22 @@ def test_url_filters_match_brute_force(spark, rows_a_part):
     assert url_filters.filtered(pages, spark.createDataFrame([], "rule_id long, pattern string, action string")).where("keep").count() == len(want)
 
 
+def test_url_filters_with_many_deep_rules(spark):
+    """Rules that nest thirty deep, and one that covers a third of all pages."""
+    r = random.Random(8)
+    path = [f"d{k}" for k in range(30)]
+    rules = [(k, "deep.example.org/" + "/".join(path[:k]), r.choice(["block", "allow"])) for k in range(1, 31)]
+    rules += [(100 + k, f"h{r.randint(0, 40)}.example.org" + r.choice(["", "/", "/a", f"/a/{r.randint(0, 5)}"]), r.choice(["block", "allow"])) for k in range(300)] + [(999, "hot.net", "block")]
+    pages = [(k, "http://deep.example.org/" + "/".join(path[: r.randint(0, 30)])) for k in range(150)]
+    pages += [(200 + k, f"http://h{r.randint(0, 50)}.example.org/a/{r.randint(0, 9)}") for k in range(150)] + [(400 + k, "http://www.hot.net/same") for k in range(150)]
+    table = spark.createDataFrame(rules, "rule_id long, pattern string, action string")
+    got = {x.page_id: (x.rule_id, x.action, x.n_rules) for x in url_filters.filtered(spark.createDataFrame(pages, "page_id long, url string"), table, 20).collect()}
+    for i, url in pages:
+        hits = [(len(k), a == "block", -q, q, a) for q, p, a in rules if (k := py_rule(p)) and py_key(url).startswith(k)]
+        best = max(hits, default=None)
+        assert got[i] == ((best[3], best[4], len(hits)) if best else (None, None, 0)), (url, got[i], best)
+
+
 # 3 quality classifier
 
 
@@ -185,6 +201,42 @@ def test_classifier_on_held_out_labels_and_against_numpy(spark):
     assert np.allclose([got[k].score for k in range(240)], want, rtol=1e-6, atol=1e-6)
 
 
+def test_statistics_match_brute_force(spark, docs, rows):
+    extra = [(900, "Ünïcode ÀÉ Wörd 123 -- a_b\tx\r\n\fy {|}~", "s"), (901, "x" * 300_000, "s"), (902, "A1 A1 a1 !", "s"), (903, "\u00a0 z", "s")]
+    got = quality_classifier.with_stats(docs.select("doc_id", "text").unionByName(docs_of(spark, extra).select("doc_id", "text"))).collect()
+
+    def stats(t):
+        ws = [w for w in re.split("[ \t\n\r\f]+", (t or "").lower()) if w]
+        if not ws:
+            return (None,) * 6
+        v = re.sub("[ \t\n\r\f]+", "", t)
+        odds = lambda n, usual: math.log((p := (n + 30 * usual) / (len(v) + 30)) / (1.0001 - p))
+        count = lambda f: sum(map(f, v))
+        n = len(ws)
+        return (
+            math.log(1 + n), odds(count(lambda c: c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"), 0.03), odds(count(lambda c: "A" <= c <= "Z" or "À" <= c <= "Ö" or "Ø" <= c <= "Þ"), 0.03),
+            math.log((len(set(ws)) + 30) / (min((n + 1) ** 0.9, n) + 30)), math.log((len(v) + 180) / (n + 30)), odds(count(lambda c: c in "0123456789"), 0.002),
+        )
+
+    want = [(i, *stats(t)) for i, t, _ in rows + extra]
+    got = sorted(((r.doc_id, *[r[c] for c in quality_classifier.STATS]) for r in got), key=lambda x: (str(x[0]), str(x[1])[:6]))
+    want = sorted(want, key=lambda x: (str(x[0]), str(x[1])[:6]))
+    assert [x[0] for x in got] == [x[0] for x in want]
+    for g, w in zip(got, want):
+        assert all((a is None and b is None) or abs(a - b) < 1e-9 for a, b in zip(g[1:], w[1:])), (g, w)
+
+
+def test_classifier_moments_are_exact(spark):
+    """Large means and small deviations: floating sums of squares would cancel."""
+    far = [(k, *[20.0 + (k * j % 7) * 1e-6 for j in range(1, 7)]) for k in range(200)]
+    stats = spark.createDataFrame(far, "doc_id long, " + ", ".join(f"{c} double" for c in quality_classifier.STATS))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, quality int")
+    n, one, two = quality_classifier.class_moments(stats, labels)[1]
+    u = quality_classifier.UNIT
+    x = [[round(v * u) for v in r[1:]] for r in far if r[0] % 2]
+    assert n == 100 and one == [sum(c) for c in zip(*x)] and two == [[sum(a * b for a, b in zip(p, q)) for q in zip(*x)] for p in zip(*x)]
+
+
 def test_classifier_edges(spark, docs, rows, empty):
     labels = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (None, 1, 0), (2, 7, 0)], "doc_id long, quality int, toxic int")
     got = quality_classifier.classified(docs, labels).collect()
