@@ -10,6 +10,7 @@ from collections.abc import Iterable
 import ahocorasick
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +23,18 @@ _MOST = 400_000
 
 
 def load_pieces(path: str = MODEL) -> dict[str, int]:
-    """piece -> cost in micro-nats: the pieces are ranked by frequency, and rank r has probability ~ 1 / (r + 2)."""
+    """piece -> cost in micro-nats.
+
+    A unigram model's scores are log probabilities and are taken as they are. Other models only rank their pieces
+    by frequency (their scores are ranks): there, rank r has probability ~ 1 / (r + 2).
+    """
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [sp.id_to_piece(k) for k in range(sp.get_piece_size()) if not (sp.is_control(k) or sp.is_unknown(k) or sp.is_byte(k))]
+    scores = [sp.get_score(sp.piece_to_id(p)) for p in pieces]
+    if pieces and any(x != round(x) for x in scores):
+        return {p: round(-1e6 * x) for p, x in zip(pieces, scores)}
     norm = math.log(sum(1 / (r + 2) for r in range(len(pieces))))
     return {p: round(1e6 * (math.log(r + 2) + norm)) for r, p in enumerate(pieces)}
 
@@ -118,16 +126,19 @@ def token_counts(docs: DataFrame, model: str = MODEL) -> DataFrame:
     Pre-tokens are the runs of visible characters, each with a leading word mark; tokens are the pieces of its
     most probable segmentation under the unigram model (see Counter). Each distinct pre-token of a task's batch
     is scored once, along a trie, and counts are kept for its later batches, up to a bound of memory: so the
-    work grows with distinct pre-tokens and nothing is shuffled or broadcast. model must be readable by every
-    executor.
+    work grows with distinct pre-tokens and nothing is shuffled. model, a path on the driver, is sent to each
+    executor once as a file.
 
     Texts that are null or blank have 0 of both. Long texts and words are counted whole. Repeated rows are
     counted alike, null doc_ids are kept, an empty table gives no rows, and other columns are ignored.
     """
 
+    docs.sparkSession.sparkContext.addFile(model)
+    name = os.path.basename(model)
+
     @F.pandas_udf("struct<words: bigint, tokens: bigint>")
     def count(texts: pd.Series) -> pd.DataFrame:
-        c, rows, held = counter(model), [], 0
+        c, rows, held = counter(SparkFiles.get(name)), [], 0
         parts: list[list[str | None]] = [[]]
         for t in texts:
             parts[-1].append(t)
