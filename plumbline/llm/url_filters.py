@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -106,8 +106,7 @@ def filtered(pages: DataFrame, rules: DataFrame, rows_a_part: int = _ROWS_A_PART
 
     @F.pandas_udf("int")
     def part_of(keys: pd.Series) -> pd.Series:
-        cuts = bounds.value
-        return pd.Series([bisect_right(cuts, k) for k in keys], dtype="int32")
+        return pd.Series(np.searchsorted(np.array(bounds.value, object), keys.to_numpy(), "right").astype(np.int32)) if bounds.value else pd.Series(np.zeros(len(keys), np.int32))
 
     top = "\U0010ffff"
     r = r.withColumn("part", F.explode(F.sequence(part_of("key"), part_of(F.concat("key", F.lit(top))))))
