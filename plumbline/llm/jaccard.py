@@ -27,13 +27,13 @@ LIGHT_MAX = 40
 #: Counters of the n-gram sketch and of the word sketch that estimate how rare an n-gram is. The estimate is the
 #: same for all documents, so the join is exact whatever collides.
 SKETCH, WORDS = 1 << 22, 1 << 18
-_CHUNKS, _BITS = 16, 4096
+_CHUNKS, _BITS = 16, 1 << 14
 #: Minimum-hash keys of a set, and values in a key.
 _KEYS, _VALUES = 12, 4
 #: Least number of token ranges: above a few per n-gram of a set's prefix, posting blocks look alike at every size.
 _LEAST_PARTS = 192
 _ROWS_A_PART = 1_500
-#: Sets, and n-grams, of a block of a large component; two blocks are compared at once.
+#: Sets of a block of a large component, of which two are compared at once, and n-grams that a task gets of them.
 _BLOCK_SETS, _BLOCK_GRAMS = 2_500, 1 << 20
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 _SID = np.uint64(0x9FB21C651E98DF25)
@@ -489,13 +489,13 @@ def overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _similar(xs: list[np.ndarray], ys: list[np.ndarray], t: float) -> np.ndarray:
-    both = overlaps(xs, ys)
+def _reaches(both: np.ndarray, sx: np.ndarray, sy: np.ndarray, t: float) -> np.ndarray:
+    """Which sets, of sizes sx and sy with these overlaps, reach Jaccard similarity t."""
     out = np.zeros(both.shape, bool)
-    lx, ly = np.array([len(s) for s in xs], np.float64), np.array([len(s) for s in ys], np.float64)
-    for k in range(0, len(xs), 256):
+    sx, sy = sx.astype(np.float64), sy.astype(np.float64)
+    for k in range(0, len(sx), 256):
         o = both[k : k + 256].astype(np.float64)
-        out[k : k + 256] = o / (lx[k : k + 256, None] + ly - o) >= t - 1e-12
+        out[k : k + 256] = o / (sx[k : k + 256, None] + sy - o) >= t - 1e-12
     return out
 
 
@@ -519,64 +519,121 @@ def _forest(similar: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+_SHIPPED = "g long, lo int, hi int, part int, root long, side int, sid long, size int, body binary"
+_FOUND = "g long, lo int, hi int, a long, b long, links long, x binary, y binary, cells binary"
+
+
+def _links(similar: np.ndarray, x: np.ndarray, y: np.ndarray, same: bool) -> list[tuple]:
+    """(a, b, links) rows of a block of pairs of sets, named by x and y."""
+    if same:
+        np.fill_diagonal(similar, False)
+    out = [(x[k], None, v) for k, v in enumerate(similar.sum(1)) if v]
+    if not same:
+        out += [(y[k], None, v) for k, v in enumerate(similar.sum(0)) if v]
+    names = np.concatenate([x, y])
+    return out + [(names[i], names[j], None) for i, j in _forest(similar) if names[i] != names[j]]
+
+
+def _summed(counted: DataFrame, t: float) -> DataFrame:
+    """The links of block pairs whose overlaps come in parts, of which one is held at a time."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total, x, y = None, None, None, None
+
+        def out() -> pa.RecordBatch:
+            rows = _links(_reaches(total, x[:, 1], y[:, 1], t), x[:, 0], y[:, 0], key[1] == key[2])
+            cols = zip(*rows) if rows else ([], [], [])
+            return pa.RecordBatch.from_arrays([pa.array([None if v is None else int(v) for v in c], pa.int64()) for c in cols], names=["a", "b", "links"])
+
+        for b in batches:
+            for r in range(b.num_rows):
+                g, lo, hi, p, q, cells = (c[r].as_py() for c in b.columns)
+                if (g, lo, hi) != key:
+                    if key is not None:
+                        yield out()
+                    key, x, y = (g, lo, hi), np.frombuffer(p, np.int64).reshape(-1, 2), np.frombuffer(q, np.int64).reshape(-1, 2)
+                    total = np.zeros((len(x), len(y)), np.float32)
+                total += np.frombuffer(zlib.decompress(cells), np.uint32).reshape(total.shape)
+        if key is not None:
+            yield out()
+        trim()
+
+    keys = ("g", "lo", "hi")
+    return counted.select(*keys, "x", "y", "cells").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(scan, "a long, b long, links long")
+
+
 def _verify(place: DataFrame, sets: DataFrame, roots: DataFrame, n: int, t: float) -> DataFrame:
     """(a, b, links): for each set of the candidates' components the number of sets in it that are similar to it (b
     null), in parts to be summed, and edges (links null) that connect what similar pairs connect.
 
-    All pairs of a component are compared, as products of blocks of sets. Texts of components go to their
-    task; a component of more than a block's size is spread over the pairs of its blocks.
+    All pairs of a component are compared, as products of blocks of sets. Small components go to their task as
+    texts. Of a large one the n-grams are shipped, to each pair of blocks of so many sets; if those have too many
+    n-grams for a task they are cut in ranges of hashes, whose overlaps are added up. So a component is copied
+    as often as it has blocks of sets, whatever their lengths.
     """
     sized = roots.select(F.col("v").alias("sid"), "root").join(sets.select("sid", "size", FILE, ROW), "sid")
     many = sized.groupBy("root").agg(F.count("*").alias("sets"), F.sum("size").alias("grams"))
-    many = cut(many.select("root", "grams", F.greatest(F.ceil(F.col("sets") / F.lit(_BLOCK_SETS)), F.ceil(F.col("grams") / F.lit(_BLOCK_GRAMS))).cast("long").alias("blocks")))
+    many = many.withColumn("blocks", F.ceil(F.col("sets") / F.lit(_BLOCK_SETS)).cast("long"))
+    many = many.withColumn("parts", F.ceil(F.col("grams") * F.when(F.col("blocks") > 1, 2).otherwise(1) / F.col("blocks") / F.lit(_BLOCK_GRAMS)).cast("long"))
+    many = cut(many)
     groups = max(1, math.ceil((many.agg(F.sum("grams")).first()[0] or 0) / _BLOCK_GRAMS))
-    where = RowMap(sized.join(many, "root"), ("root", "blocks"))
+    where = RowMap(sized.join(many, "root"), ("root", "blocks", "parts"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found, root, blocks = where.find(b.column(1).to_numpy(), b.column(2).to_numpy())
+            found, root, blocks, parts = where.find(b.column(1).to_numpy(), b.column(2).to_numpy())
             out: list[tuple] = []
+            held = 0
             for k in np.flatnonzero(found):
-                r, m = int(root[k]), int(blocks[k])
+                r, m, p = int(root[k]), int(blocks[k]), int(parts[k])
                 text = b.column(0)[int(k)].as_py()
-                if m == 1:
-                    out.append((-1 - r % groups, 0, 0, r, 0, text))
+                if m == p == 1:
+                    out.append((-1 - r % groups, 0, 0, -1, r, 0, 0, 0, text.encode("utf-8", "surrogatepass")))
+                    held += len(text)
                 else:
-                    own = xxhash.xxh3_64_intdigest(f"{b.column(1)[int(k)]},{b.column(2)[int(k)]}".encode()) % m
-                    out += [(r, min(own, o), max(own, o), r, own, text) for o in range(m)]
-                if len(out) >= 500:
+                    s = ngram_set(text, n)
+                    sid = set_id(s)
+                    own = sid % m
+                    ends = np.searchsorted(s, ((np.arange(1, p, dtype=np.uint64) << np.uint64(56)) // np.uint64(p)))
+                    for part, piece in enumerate(np.split(s, ends)):
+                        out += [(r, min(own, o), max(own, o), part, r, own, sid, len(s), piece.tobytes()) for o in range(m)]
+                        held += len(piece) * 8 * m
+                if len(out) >= 2000 or held > 4_000_000:
                     yield _rows_of(out)
-                    out = []
+                    out, held = [], 0
             if out:
                 yield _rows_of(out)
         trim()
 
     def check(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
+        g0, lo, hi, part = (int(pdf[c].iloc[0]) for c in ("g", "lo", "hi", "part"))
+        if part >= 0:
+            pdf = pdf.sort_values("sid", kind="stable").drop_duplicates("sid")
+            x, y = pdf[pdf["side"] == lo], pdf[pdf["side"] == hi]
+            cells = overlaps(*([np.frombuffer(v, np.uint64) for v in z["body"]] for z in (x, y)))
+            names = [z[["sid", "size"]].to_numpy(np.int64).tobytes() for z in (x, y)]
+            return pd.DataFrame({"g": [g0], "lo": [lo], "hi": [hi], "a": pd.array([None], "Int64"), "b": pd.array([None], "Int64"), "links": pd.array([None], "Int64"), "x": [names[0]], "y": [names[1]], "cells": [zlib.compress(cells.astype(np.uint32).tobytes(), 1)]})
         out: list[tuple] = []
         for _, g in pdf.groupby("root", sort=False):
-            grams = [ngram_set(x, n) for x in g["text"]]
-            ids, side = np.array([set_id(s) for s in grams]), g["side"].to_numpy()
-            x, y = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
-            similar = _similar([grams[k] for k in x], [grams[k] for k in y], t)
-            if lo == hi:
-                np.fill_diagonal(similar, False)
-            else:
-                out += [(ids[y[k]], None, int(v)) for k, v in enumerate(similar.sum(0)) if v]
-            out += [(ids[x[k]], None, int(v)) for k, v in enumerate(similar.sum(1)) if v]
-            names = np.concatenate([ids[x], ids[y]])
-            out += [(names[i], names[j], None) for i, j in _forest(similar) if names[i] != names[j]]
+            grams = [ngram_set(x.decode("utf-8", "surrogatepass"), n) for x in g["body"]]
+            ids = np.array([set_id(s) for s in grams])
+            sizes = np.array([len(s) for s in grams])
+            out += _links(_reaches(overlaps(grams, grams), sizes, sizes, t), ids, ids, True)
         cols = zip(*out) if out else ([], [], [])
-        return pd.DataFrame({c: pd.array([None if v is None else int(v) for v in x], "Int64") for c, x in zip(("a", "b", "links"), cols)})
+        found = pd.DataFrame({c: pd.array([None if v is None else int(v) for v in x], "Int64") for c, x in zip(("a", "b", "links"), cols)})
+        found[["g", "lo", "hi"]] = g0, lo, hi
+        found[["x", "y", "cells"]] = None
+        return found[["g", "lo", "hi", "a", "b", "links", "x", "y", "cells"]]
 
-    texts = place.select("text", FILE, ROW).mapInArrow(spread, "g long, lo int, hi int, root long, side int, text string")
-    return texts.groupBy("g", "lo", "hi").applyInPandas(check, "a long, b long, links long")
+    shipped = place.select("text", FILE, ROW).mapInArrow(spread, _SHIPPED)
+    found = stored(shipped.groupBy("g", "lo", "hi", "part").applyInPandas(check, _FOUND))
+    return found.where("cells is null").select("a", "b", "links").unionByName(_summed(found.where("cells is not null"), t))
 
 
 def _rows_of(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows))
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["g", "lo", "hi", "root", "side", "text"])
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["g", "lo", "hi", "part", "root", "side", "sid", "size", "body"])
 
 
 def _classes(docs: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame]:

@@ -546,6 +546,7 @@ def test_jaccard_join_matches_brute_force(spark, docs, rows, empty, boundary, t,
     if boundary:
         monkeypatch.setattr(jaccard, "choose_boundary", lambda costs, t: boundary)
     monkeypatch.setattr(jaccard, "_BLOCK_SETS", 7)
+    monkeypatch.setattr(jaccard, "_BLOCK_GRAMS", 1 << 20 if t > 0.6 else 60)
     r = random.Random(9)
     base = [text(r.randint(2, 30), r) for _ in range(12)]
     extra = [(600 + k, edited(base[k % 12], 0.05, r), "s") for k in range(60)] + tiny_rows(700, r) + [(600, "another text of a row that repeats its id", "s")]
