@@ -70,12 +70,21 @@ def trim() -> None:
         pass
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of texts for Python of a few MB, for this session, where it has Spark's usual ones: a batch is held by
+    the JVM and by a worker at once, and the usual 64 MB are much for an executor with several workers."""
+    for name, usual, few in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", "67108864b", "4194304b")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}") == usual:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", few)
+
+
 def located(docs: DataFrame) -> DataFrame:
     """docs with __file (a hash of the file's path) and __row (the row's place in it), which name each of its rows.
 
     Filters and projections of Parquet files are taken as they are; anything else is written to the shared
     folder first.
     """
+    small_batches(docs.sparkSession)
     node = docs._jdf.queryExecution().analyzed()
     while node.nodeName() in ("Project", "Filter", "SubqueryAlias") and node.children().size() == 1:
         node = node.children().head()

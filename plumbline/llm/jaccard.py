@@ -328,7 +328,7 @@ def _postings(place: DataFrame, labels: RowMap, sketch, n: int, t: float, bounda
     return place.select("text", FILE, ROW).mapInArrow(scan, _POSTING)
 
 
-def _pairs_of(tok: np.ndarray, ids: np.ndarray, size: np.ndarray, pos: np.ndarray, small: bool, t: float, boundary: int, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs_of(tok: np.ndarray, ids: np.ndarray, size: np.ndarray, pos: np.ndarray, small: bool, t: float, boundary: int, most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of sets of different groups that share a token where the length and positional bounds hold, least id first.
 
     The positional bound holds at the first token that two similar sets share. Pairs of one group aren't
@@ -386,10 +386,10 @@ def _candidates(postings: DataFrame, t: float, boundary: int, tasks: int) -> Dat
             for pair in _pairs_of(tok, ids.reshape(-1, 2), sizes, pos, key[1], t, boundary):
                 got.append(pair)
                 size += len(pair[0])
-                if size > 1_000_000:
+                if size > 400_000:
                     got = [_distinct_pairs(got)]
                     size = len(got[0][0])
-                    if size > 500_000:
+                    if size > 200_000:
                         yield pa.RecordBatch.from_pydict(dict(zip(("a", "b"), got[0])))
                         got, size = [], 0
             if got:
@@ -479,7 +479,7 @@ def overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
     done = np.concatenate([[0], np.cumsum(many)])
     start = 0
     while start < len(p):
-        stop = max(start + 1, int(np.searchsorted(done, done[start] + 2_000_000, "right")) - 1)
+        stop = max(start + 1, int(np.searchsorted(done, done[start] + 500_000, "right")) - 1)
         n = many[start:stop]
         i = np.repeat(row[p[start:stop]], n)
         k = np.repeat(begins[at[p[start:stop]]], n) + np.arange(len(i)) - np.repeat(done[start:stop] - done[start], n)
@@ -612,6 +612,7 @@ def _verify(place: DataFrame, sets: DataFrame, roots: DataFrame, n: int, t: floa
             x, y = pdf[pdf["side"] == lo], pdf[pdf["side"] == hi]
             cells = overlaps(*([np.frombuffer(v, np.uint64) for v in z["body"]] for z in (x, y)))
             names = [z[["sid", "size"]].to_numpy(np.int64).tobytes() for z in (x, y)]
+            trim()
             return pd.DataFrame({"g": [g0], "lo": [lo], "hi": [hi], "a": pd.array([None], "Int64"), "b": pd.array([None], "Int64"), "links": pd.array([None], "Int64"), "x": [names[0]], "y": [names[1]], "cells": [zlib.compress(cells.astype(np.uint32).tobytes(), 1)]})
         out: list[tuple] = []
         for _, g in pdf.groupby("root", sort=False):

@@ -26,7 +26,7 @@ from plumbline.llm.common import FILE, ROW, RowMap, located, rows_of, text_slice
 TOKEN = re.compile(r"\w+|[^\w\t\n\f\r ]+")
 #: Least number of buckets of the table, and most features a bucket before the table gets larger.
 BUCKETS = 1 << 18
-LOAD = 64
+LOAD = 1024
 #: Buckets that are summed at once.
 CHUNK = 1 << 18
 _MUL = 1_000_003
@@ -35,7 +35,7 @@ THRESHOLD = -250_000
 #: Pseudo-occurrences of a bucket in the raw corpus; in the trusted one they count by its share of all features.
 ALPHA = 16.0
 #: Features, and then distinct ones, that a task holds.
-_HELD = 1_000_000
+_HELD = 500_000
 
 
 class _Md5(dict):
