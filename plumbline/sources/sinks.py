@@ -20,6 +20,7 @@ class Store:
         return f"{self.root}/{table}"
 
     def read(self, table: str, schema: str | None = None) -> DataFrame:
+        self._recover(table)
         try:
             return self.spark.read.parquet(self.path(table))
         except Exception as e:
@@ -27,15 +28,45 @@ class Store:
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def replace_partitions(self, df: DataFrame, table: str, by: str = "src_table") -> None:
-        """Only the partitions that df has rows for are replaced."""
+    def replace_partitions(self, df: DataFrame, table: str, names: list[str] | None = None, by: str = "src_table") -> None:
+        """Only the partitions that df has rows for are replaced; those of names that it has none for are dropped."""
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(self.path(table))
+        if names:
+            here = {r[0] for r in df.select(by).distinct().collect()}  # a row a table
+            self.drop_partitions(table, [x for x in names if x not in here], by)
+
+    def drop_partitions(self, table: str, names: list[str], by: str = "src_table") -> None:
+        for x in names:
+            folder = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(by, x)
+            self._fs(table).delete(self._p(f"{self.path(table)}/{folder}"), True)
+        self.spark.catalog.refreshByPath(self.path(table))
 
     def overwrite(self, df: DataFrame, table: str) -> None:
-        """By way of a second folder, as df may read the table."""
-        new = self.path(table) + ".new"
-        df.write.mode("overwrite").parquet(new)
-        self.spark.read.parquet(new).write.mode("overwrite").parquet(self.path(table))
+        """An unpartitioned table as a whole, which df may read: written beside it and then put in its place by renames.
+
+        A reader that comes between the renames, or after a failure there, takes the old table back.
+        """
+        new, old, at = (self._p(self.path(table) + x) for x in (".new", ".old", ""))
+        self._recover(table)
+        df.write.mode("overwrite").parquet(self.path(table) + ".new")
+        fs = self._fs(table)
+        fs.delete(old, True)
+        if fs.exists(at):
+            fs.rename(at, old)
+        fs.rename(new, at)
+        fs.delete(old, True)
+        self.spark.catalog.refreshByPath(self.path(table))
+
+    def _p(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _fs(self, table: str):
+        return self._p(self.path(table)).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _recover(self, table: str) -> None:
+        fs, at, old = self._fs(table), self._p(self.path(table)), self._p(self.path(table) + ".old")
+        if not fs.exists(at) and fs.exists(old):
+            fs.rename(old, at)
 
     def append(self, df: DataFrame, table: str) -> None:
         df.write.mode("append").parquet(self.path(table))
@@ -48,9 +79,8 @@ class Store:
         self.overwrite(self.read(table).join(keys, keys.columns, "left_anti"), table)
 
     def _missing(self, table: str) -> bool:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path(table))
-        return not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        self._recover(table)
+        return not self._fs(table).exists(self._p(self.path(table)))
 
 
 RECEIPT = "artifact string, fingerprint string, version string"

@@ -13,17 +13,20 @@ VERSION = "lex1"
 
 
 def refresh(cat: SourceCatalog, store: Store, force: bool = False) -> list[tuple[str, str]]:
-    """Re-derive the lexical values of tables that changed since their receipt; returns (table, change)."""
+    """Re-derive the lexical values of tables that changed since their receipt; returns (table, change).
+
+    Each table is a partition: what changed, was dropped or became empty is replaced or removed, and the rest stays as
+    it is. Receipts are written last, so a refresh that was broken off is done again.
+    """
     receipts = store.read("receipts", RECEIPT)
     now = cat.fingerprints()
     changes = dirty(now, receipts.limit(0) if force else receipts, VERSION)
     todo = [(r.artifact, r.change) for r in changes.collect()]  # a row a table
     live = [t for t, c in todo if c != "dropped" and cat.text_columns(t)]
     if live:
-        store.replace_partitions(cat.lexical_values(live), "lex_values")
-    gone = [t for t, c in todo if c == "dropped"]
-    if gone:
-        store.overwrite(store.read("lex_values").where(~F.col("src_table").isin(gone)), "lex_values")
+        store.replace_partitions(cat.lexical_values(live), "lex_values", live)
+    # a table that is gone, or has no text column any more, loses its partition and no other
+    store.drop_partitions("lex_values", [t for t, c in todo if t not in live])
     if todo:
         store.overwrite(now.withColumn("version", F.lit(VERSION)), "receipts")
     return todo

@@ -30,6 +30,48 @@ def test_catalog(cat):
     assert {(r.src_column, r.is_pk, r.fk) for r in cat.schema().where("src_table = 'people'").collect()} == {("id", True, None), ("name", False, None), ("office_id", False, "offices.id")}
 
 
+def test_refresh_loses_nothing_in_any_order(spark, tmp_path):
+    """Tables are dropped, emptied, changed and come back; the rest stays as it was."""
+    root, store = str(tmp_path / "src"), Store(spark, str(tmp_path / "store"))
+
+    def put(name, values):
+        spark.createDataFrame([(k, v) for k, v in enumerate(values)], "id long, v string").write.mode("overwrite").parquet(f"{root}/{name}.parquet")
+
+    def derived():
+        return {(r.src_table, r.value) for r in store.read("lex_values", "src_table string, value string").select("src_table", "value").collect()}
+
+    for n in "abc":
+        put(n, [f"{n}1", f"{n}2"])
+    tables = {n: Table(n, "id", ("id",)) for n in "abc"}
+    refresh(SourceCatalog(spark, root, tables), store)
+    want = {(n, f"{n}{k}") for n in "abc" for k in (1, 2)}
+    assert derived() == want
+    two = {n: tables[n] for n in "ab"}
+    assert refresh(SourceCatalog(spark, root, two), store) == [("c", "dropped")] and derived() == {x for x in want if x[0] != "c"}
+    put("a", ["a1", "a2", "a3"])
+    assert refresh(SourceCatalog(spark, root, two), store) == [("a", "changed")]
+    assert derived() == {x for x in want if x[0] != "c"} | {("a", "a3")}
+    put("a", [])
+    assert refresh(SourceCatalog(spark, root, two), store) == [("a", "changed")] and derived() == {("b", "b1"), ("b", "b2")}
+    assert sorted(refresh(SourceCatalog(spark, root, tables), store)) == [("c", "new")] and derived() == {x for x in want if x[0] != "a"}
+    put("b", [])
+    put("c", [" "])
+    refresh(SourceCatalog(spark, root, tables), store, force=True)
+    assert derived() == set()
+    put("a", ["again"])
+    refresh(SourceCatalog(spark, root, tables), store)
+    assert derived() == {("a", "again")}
+
+
+def test_an_overwrite_that_broke_off_is_undone(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.overwrite(spark.range(3), "t")
+    store.overwrite(store.read("t").where("id > 0"), "t")
+    assert store.read("t").count() == 2
+    (tmp_path / "t").rename(tmp_path / "t.old")  # as if it had stopped between the renames
+    assert store.read("t").count() == 2 and not (tmp_path / "t.old").exists()
+
+
 def test_refresh_touches_only_what_changed(spark, cat, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     assert sorted(refresh(cat, store)) == [("offices", "new"), ("people", "new")]
