@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import enumerate_spans
-from plumbline.operators import graph, lexical, relational, resolve, vectors
+from plumbline.operators import enrich, graph, lexical, phases, relational, resolve, vectors
 from plumbline.operators.admission import Trace, parse
 from plumbline.operators.admission import Candidate as Cited
 from plumbline.sources.catalog import SourceCatalog
+from plumbline.sources.sinks import settle
 
 
 class Embedder(Protocol):
@@ -52,6 +53,7 @@ class Engine:
     def __init__(self, catalog: SourceCatalog, embedder: Embedder | None = None):
         self.catalog, self.spark, self.embedder = catalog, catalog.spark, embedder
         self._lex: DataFrame | None = None
+        self._index: dict | None = None
 
     def lex(self) -> DataFrame:
         """The lexical values with their document flag, derived once."""
@@ -90,29 +92,75 @@ class Engine:
         has = values.select(F.concat(F.lit("column:"), F.col("src_table"), F.lit("."), F.col("src_column")).alias("src"), key.alias("dst"), F.lit("has_value").alias("kind"), F.lit("").alias("label"), F.lit("{}").alias("props"))
         return nodes, edges.unionByName(inferred).unionByName(has)
 
-    def resolve(self, queries: DataFrame, kg_labels: DataFrame | None = None) -> dict[str, DataFrame]:
-        """spans, candidates, outcomes and clarifications of all (qid, query) at once."""
-        lex = self.lex()
-        spans = enumerate_spans(queries)
-        if kg_labels is not None:
-            known = kg_labels.select(F.lower("label").alias("low")).distinct().withColumn("kg_alias", F.lit(True))
-            spans = spans.withColumn("low", F.lower("text")).join(known, "low", "left").withColumn("kg_alias", F.coalesce("kg_alias", F.lit(False))).drop("low")
+    def index(self) -> dict:
+        """What every resolution reads, derived once: postings, readings, and the index's size and mean lengths."""
+        if self._index is None:
+            lex = self.lex()
+            n, avg = lexical.index_stats(lex)
+            self._index = {
+                "postings": lexical.postings(lex).persist(), "readings": lexical.interpretations(lex.where("not is_doc")).persist(), "n": n, "avg": avg,
+                "grams": lex.agg(F.avg(F.greatest(F.length("value") - 2, F.lit(1)))).first()[0] or 1.0,
+            }
+        return self._index
+
+    def lexical_hits(self, live: DataFrame) -> DataFrame:
+        lex, x = self.lex(), self.index()
+        hits = lexical.exact_channel(live, x["readings"]).withColumn("is_doc", F.lit(False))
+        hits = hits.unionByName(lexical.ranked_channel(lexical.bm25(lexical.phrase_matches(live, x["postings"]), x["n"], x["avg"]), lex, "bm25"))
+        return hits.unionByName(lexical.ranked_channel(lexical.bm25(lexical.trigram_matches(live, lex), x["n"], x["grams"]), lex, "trigram"))
+
+    def resolve(self, queries: DataFrame, evidence: phases.Evidence | None = None) -> dict[str, DataFrame]:
+        """spans, candidates, outcomes and clarifications of all (qid, query) at once.
+
+        Phases: lexical channels; semantic channels where they leave a span open; fusion with coherence of documents
+        and of context; forms that a model proposes and the index confirms; the best joint reading; affinity of the
+        question to cards and to columns; choice of mentions; adjudication; reach of what is still ambiguous. A
+        phase whose evidence is missing is left out. candidates has coherence and reach, spans divergence.
+        """
+        ev = evidence or phases.Evidence()
+        spans = enumerate_spans(queries, whole=ev.embedder is not None)
+        if ev.nodes is not None:
+            known = phases.terms_of(ev).select(F.col("term").alias("low")).distinct().withColumn("kg_alias", F.lit(True))
+            spans = spans.withColumn("low", F.lower("text")).join(known, "low", "left").withColumn("kg_alias", F.coalesce("kg_alias", F.lit(False)) & (F.col("status") != "skipped")).drop("low")
         else:
             spans = spans.withColumn("kg_alias", F.lit(False))
+        spans = settle(spans)
         live = spans.where("status <> 'skipped'")
-        n, avg = lexical.index_stats(lex)
-        grams = lex.agg(F.avg(F.greatest(F.length("value") - 2, F.lit(1)))).first()[0] or 1.0
-        short = lexical.interpretations(lex.where("not is_doc"))
-        hits = lexical.exact_channel(live, short).withColumn("is_doc", F.lit(False))
-        hits = hits.unionByName(lexical.ranked_channel(lexical.bm25(lexical.phrase_matches(live, lexical.postings(lex)), n, avg), lex, "bm25"))
-        hits = hits.unionByName(lexical.ranked_channel(lexical.bm25(lexical.trigram_matches(live, lex), n, grams), lex, "trigram"))
-        candidates = resolve.fuse(hits, live).persist()
-        chosen = resolve.select_mentions(spans, candidates)
-        decided = resolve.decide(candidates, chosen)
+        hits = settle(self.lexical_hits(live))
+        more = phases.semantic_hits(live, hits, resolve.fuse(hits, live), self.lex(), self.index()["readings"], ev) if ev.embedder is not None else None
+        candidates = settle(resolve.fuse(hits if more is None else hits.unionByName(more), live, ev.geometry))
+        if ev.edges is not None:
+            candidates = resolve.document_coherence(candidates, phases.co_terms(live, ev), self.index()["postings"])
+            candidates = resolve.context_coherence(settle(candidates), phases.context_terms(queries, live), phases.affinity_columns(ev))
+        if ev.aliases is not None:
+            candidates = phases.alias_pass(queries, spans, settle(candidates), ev, lambda forms: resolve.fuse(self.lexical_hits(forms), forms))
+        if ev.edges is not None:
+            candidates = phases.collective_pass(self.catalog, spans, settle(candidates), ev)
+        else:
+            candidates = candidates.withColumn("coherence", F.lit(None).cast("string"))
+        contended = None
+        if ev.usable("cards") is not None or ev.usable("column_cards") is not None:
+            vecs = settle(phases.embedded(queries.select("qid", F.col("query").alias("text")), ev.embedder, "qid"))
+            if ev.usable("cards") is not None:
+                candidates = phases.context_affinity(candidates, vecs, ev)
+            if ev.usable("column_cards") is not None:
+                candidates, contended = phases.column_affinity(settle(candidates), vecs, ev)
+        candidates = settle(candidates)
+        chosen = settle(resolve.select_mentions(spans, candidates))
+        decided = settle(resolve.decide(candidates, chosen))
         ambiguous = resolve.ambiguous_spans(decided)
+        if contended is not None:
+            flag = contended.withColumn("contended", F.lit(True))
+            ambiguous = ambiguous.join(flag, ["qid", "span"], "left").select("qid", "span", (F.col("ambiguous") | F.coalesce("contended", F.lit(False))).alias("ambiguous"))
+        if ev.choose is not None:
+            order = enrich.adjudicate(decided, ambiguous, ev.choose).withColumnRenamed("place", "new_place")
+            decided = decided.join(order, resolve.CANDIDATE, "left").withColumn("place", F.coalesce("new_place", "place")).drop("new_place")
+            decided = settle(decided)
+        ambiguous = settle(ambiguous)
+        reached = settle(phases.reaches(self.catalog, decided, ambiguous))
         return {
-            "spans": spans.drop("status").join(chosen, ["qid", "span"]),
-            "candidates": decided,
+            "spans": spans.drop("status").join(chosen, ["qid", "span"]).join(ambiguous, ["qid", "span"], "left").join(phases.divergences(reached), ["qid", "span"], "left").fillna({"ambiguous": False, "divergence": 0.0}),
+            "candidates": decided.join(reached, resolve.CANDIDATE, "left").fillna({"reach": 0}),
             "outcomes": resolve.outcomes(queries, decided, ambiguous),
             "clarifications": resolve.clarifications(decided, ambiguous),
         }

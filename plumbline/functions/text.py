@@ -82,15 +82,24 @@ def spans_of(query: str) -> list[tuple[int, str, int, int, int, str]]:
     return out
 
 
+def whole_span(query: str) -> list[tuple[int, str, int, int, int, str]]:
+    """The question from its first token to its last, numbered after its spans; none if it is a span already."""
+    toks = tokenize(query)
+    if len(toks) <= MAX_SPAN_TOKENS:
+        return []
+    lo, hi = toks[0][1], toks[-1][2]
+    return [(len(spans_of(query)), query.encode()[lo:hi].decode(), lo, hi, len(toks), "selected")]
+
+
 SPAN_SCHEMA = "qid long, span int, text string, start int, end int, n_tokens int, status string"
 
 
-def enumerate_spans(queries: DataFrame) -> DataFrame:
-    """Spans of each (qid, query), all queries at once."""
+def enumerate_spans(queries: DataFrame, whole: bool = False) -> DataFrame:
+    """Spans of each (qid, query), all queries at once; whole adds the question as a span of its own if it has more tokens than spans do."""
 
     def run(batches):
         for pdf in batches:
-            rows = [(q, *s) for q, t in zip(pdf["qid"], pdf["query"]) for s in spans_of(t or "")]
+            rows = [(q, *s) for q, t in zip(pdf["qid"], pdf["query"]) for s in spans_of(t or "") + (whole_span(t or "") if whole else [])]
             yield pd.DataFrame(rows, columns=["qid", "span", "text", "start", "end", "n_tokens", "status"])
 
     return queries.select("qid", "query").mapInPandas(run, SPAN_SCHEMA)

@@ -92,22 +92,27 @@ def resolve_template(registered: str | None, configured: str | None, family: str
     return registered or configured or ("Instruct: retrieve the record\nQuery: {query}" if family.startswith("instruct") else "{query}")
 
 
-def affinity_pass(candidates: DataFrame, cosines: DataFrame) -> DataFrame:
+def affinity_pass(candidates: DataFrame, cosines: DataFrame, on: list[str] = COLUMN) -> DataFrame:
     """Ties resolved by the question: of the two best within the margin, the one whose card is nearer by more than 0.05 gains 0.04.
 
-    cosines: qid, table, column, cos of the question with the column's card. Scores are capped and never lowered;
-    `torn` says that a tie stayed.
+    cosines: qid, on (what names a card: the column, or the reading's row), cos of the question with the card.
+    Only values of different columns are tied. Scores are capped and never lowered; `torn` says that a tie stayed.
     """
-    c = candidates.join(cosines, ["qid", *COLUMN], "left")
+    c = candidates.join(cosines, ["qid", *on], "left")
+    if "is_doc" not in c.columns:
+        c = c.withColumn("is_doc", F.lit(False))
     w = Window.partitionBy("qid", "span")
-    two = F.col("place") < 2
-    gap = F.max(F.when(F.col("place") == 0, F.col("score"))).over(w) - F.max(F.when(F.col("place") == 1, F.col("score"))).over(w)
-    a, b = F.max(F.when(F.col("place") == 0, F.col("cos"))).over(w), F.max(F.when(F.col("place") == 1, F.col("cos"))).over(w)
-    tie = F.coalesce(F.round(gap, 9) < MARGIN, F.lit(False))
+    at = lambda k, x: F.max(F.when(F.col("place") == k, x)).over(w)
+    two, column = F.col("place") < 2, F.concat_ws(".", *COLUMN)
+    gap = at(0, F.col("score")) - at(1, F.col("score"))
+    a, b = at(0, F.col("cos")), at(1, F.col("cos"))
+    values = (F.sum(F.when(two & ~F.col("is_doc"), 1)).over(w) == 2) & (at(0, column) != at(1, column))
+    tie = F.coalesce((F.round(gap, 9) < MARGIN) & values, F.lit(False))
     clear = F.coalesce(F.abs(a - b) > AFFINITY_GAP, F.lit(False))
     wins = two & tie & clear & (F.col("cos") == F.greatest(a, b))
     score = F.when(wins, F.greatest(F.col("score"), F.least(F.col("score") + AFFINITY_BONUS, F.lit(CAP)))).otherwise(F.col("score"))
-    return reorder(c.withColumn("torn", two & tie & ~clear).withColumn("score", F.round(score, 9)).drop("cos"))
+    out = c.withColumn("torn", two & tie & ~clear).withColumn("__s", F.round(score, 9)).drop("cos", "score").withColumnRenamed("__s", "score")
+    return reorder(out if "is_doc" in candidates.columns else out.drop("is_doc"))
 
 
 def card_ranks(cosines: DataFrame) -> DataFrame:

@@ -175,7 +175,7 @@ def collective(candidates: DataFrame, links: DataFrame) -> DataFrame:
     """The best joint reading of each query's first 4 mentions x 4 candidates by verified links; its candidates rise by 0.15.
 
     candidates: qid, mention (0 ..), the candidate's key and score; links: pairs (a, b) of candidate keys, as
-    strings table.column#row, with their qid. Tuples are scored by their links, then by summed scores; the first in odometer
+    strings table.column#row, with their qid. A tuple's score is the sum of its scores and 0.15 a link; the first in odometer
     order (mention 0 fastest) wins ties.
     """
 
@@ -184,14 +184,14 @@ def collective(candidates: DataFrame, links: DataFrame) -> DataFrame:
         pools = [g.sort_values("place").head(4) for _, g in sorted(pdf.groupby("mention"), key=lambda x: x[0])][:4]
         if len(pools) < 2:
             return pd.DataFrame(columns=["qid", "key", "links"])
-        best, at = (0, 0.0), None
+        best, at, most = -1.0, None, 0
         for combo in product(*[range(len(p)) for p in reversed(pools)]):
             pick = [p.iloc[k] for p, k in zip(pools, reversed(combo))]
             n = sum((x["key"], y["key"]) in linked for i, x in enumerate(pick) for y in pick[:i])
-            total = (n, round(sum(x["score"] for x in pick), 9))
-            if n and total > best:
-                best, at = total, pick
-        rows = [(pdf["qid"].iloc[0], x["key"], best[0]) for x in at or [] if any((x["key"], y["key"]) in linked for y in at)]
+            total = round(sum(x["score"] for x in pick) + COHERENCE * n, 9)
+            if total > best:
+                best, at, most = total, pick, n
+        rows = [(pdf["qid"].iloc[0], x["key"], most) for x in at or [] if any((x["key"], y["key"]) in linked for y in at)]
         return pd.DataFrame(rows, columns=["qid", "key", "links"])
 
     return candidates.groupBy("qid").cogroup(links.groupBy("qid")).applyInPandas(run, "qid long, key string, links int")

@@ -4,12 +4,28 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Compute df once and cut its lineage with a reliable checkpoint in the folder that all executors share.
+
+    The folder is spark.checkpoint.dir; a temporary one serves in local mode only. What is settled may be read by
+    many later plans, which stay small, and survives lost executors.
+    """
+    sc, spark = df.sparkSession.sparkContext, df.sparkSession
+    if not sc.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="plumbline-"))
+    return df.checkpoint(eager=True)
+
+
 class Store:
     """Derived tables under one root, a folder each; source tables are never written."""
 
