@@ -52,6 +52,14 @@ _COLS = [("customer", "c_custkey", ["c_name", "c_mktsegment"]), ("nation", "n_na
 LEX_SQL = "lex as (" + " union all ".join(
     f"select '{t}' src_table, '{c}' src_column, cast({k} as bigint) src_rowid, {c} as value, lower(trim({c})) value_norm from {t} where {c} is not null and trim({c}) <> ''" for t, k, cs in _COLS for c in cs
 ) + ")"
+_ALL = [
+    ("benchmark", "item_id", ["text"]), ("conversations", "conv_id * 1000 + turn", ["role", "text"]), ("customer", "c_custkey", ["c_name", "c_mktsegment"]), ("documents", "doc_id", ["text", "lang", "source"]),
+    ("events", "event_id", ["event_type", "props"]), ("lineitem", "l_orderkey", ["l_returnflag", "l_linestatus"]), ("nation", "n_nationkey", ["n_name"]), ("orders", "o_orderkey", ["o_orderstatus", "o_orderpriority"]),
+    ("pages", "page_id", ["url", "html"]), ("part", "p_partkey", ["p_name", "p_brand", "p_type"]), ("region", "r_regionkey", ["r_name"]), ("supplier", "s_suppkey", ["s_name"]),
+]
+ALL_SQL = "lex as (" + " union all ".join(
+    f"select '{t}' src_table, '{c}' src_column, cast({k} as bigint) src_rowid, {c} as value, lower(trim({c})) value_norm from {t} where {c} is not null and trim({c}) <> ''" for t, k, cs in _ALL for c in cs
+) + ")"
 _TOK = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
 
@@ -62,9 +70,9 @@ def toks_sql(c: str) -> str:
 # sources, projections, filters
 
 
-@query(f"with {LEX_SQL} select * from lex")
+@query(f"with {ALL_SQL} select * from lex")
 def lexical_values(spark, d):
-    return _lex(spark, d)
+    return test_tables(spark, d).lexical_values()
 
 
 _FP = " union all ".join(f"select '{t}' artifact, concat_ws(':', count(*), coalesce(max({k}), 0), coalesce(cast(sum({k}) as bigint), 0)) fingerprint from {t}" for t, k in [("customer", "c_custkey"), ("nation", "n_nationkey"), ("supplier", "s_suppkey"), ("part", "p_partkey"), ("orders", "o_orderkey"), ("lineitem", "l_orderkey"), ("events", "event_id"), ("documents", "doc_id"), ("embeddings", "vec_id"), ("pages", "page_id"), ("benchmark", "item_id"), ("labels", "doc_id"), ("region", "r_regionkey"), ("conversations", "conv_id * 1000 + turn")])
@@ -111,9 +119,9 @@ def left_join_counts(spark, d):
     return j.select("c_custkey", "c_name", F.coalesce("n", F.lit(0)).alias("n_orders"), F.round(F.coalesce("t", F.lit(0.0)), 2).alias("total"))
 
 
-@query("select p_partkey, p_name from part where not exists (select 1 from lineitem where l_partkey = p_partkey)")
+@query("select d.doc_id, source from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)")
 def anti_join(spark, d):
-    return _read(spark, d, "part").join(_read(spark, d, "lineitem"), F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey", "p_name")
+    return _read(spark, d, "documents").select("doc_id", "source").join(_read(spark, d, "labels"), "doc_id", "left_anti")
 
 
 @query("select s_suppkey, s_name from supplier where s_suppkey in (select l_suppkey from lineitem where l_returnflag = 'R')")
@@ -245,8 +253,19 @@ def _spans(spark) -> DataFrame:
 
 
 def _span_values() -> str:
-    rows = [(q, *s) for q, t in QUESTIONS for s in tx.spans_of(t)]
-    return "spans as (select * from (values " + ", ".join(f"({q}, {s}, '{t}', {a}, {b}, {n}, '{st}')" for q, s, t, a, b, n, st in rows) + ") v(qid, span, text, start_, end_, n_tokens, status))"
+    """The questions' spans in SQL: tokens are runs of letters and digits, a span is a run of one to four of them."""
+    asked = ", ".join(f"({q}, '{t}')" for q, t in QUESTIONS)
+    stop = ", ".join(f"'{w}'" for w in sorted(tx.STOPWORDS))
+    return f"""asked as (select * from (values {asked}) v(qid, query)),
+chars as (select qid, query, i, substr(query, cast(i as int), 1) ch from (select qid, query, unnest(range(1, length(query) + 1)) i from asked)),
+flags as (select *, regexp_matches(ch, '[\\p{{L}}\\p{{N}}]') inside from chars),
+begun as (select *, inside and not coalesce(lag(inside) over (partition by qid order by i), false) first from flags),
+numbered as (select *, sum(cast(first as int)) over (partition by qid order by i) tok from begun),
+placed as (select *, octet_length(encode(substr(query, 1, cast(i as int)))) upto from numbered where inside),
+words as (select qid, any_value(query) query, tok, min(i) lo, max(i) hi, min(upto - octet_length(encode(ch))) a, max(upto) b, lower(string_agg(ch, '' order by i)) word from placed group by qid, tok),
+spans as (select x.qid, cast(row_number() over (partition by x.qid order by x.tok, y.tok) - 1 as int) span, substr(x.query, cast(x.lo as int), cast(y.hi - x.lo + 1 as int)) as text, cast(x.a as int) start_, cast(y.b as int) end_, cast(y.tok - x.tok + 1 as int) n_tokens,
+  case when exists (select 1 from words z where z.qid = x.qid and z.tok between x.tok and y.tok and z.word not in ({stop})) then 'selected' else 'skipped' end status
+  from words x join words y on x.qid = y.qid and y.tok between x.tok and x.tok + 3)"""
 
 
 @query(f'with {_span_values()} select qid, span, text, start_ as "start", end_ as "end", n_tokens, status from spans')
@@ -295,18 +314,15 @@ def column_cards(spark, d):
     return lexical.column_cards(_lex(spark, d))
 
 
-@query("""with a as (select distinct lower(trim(l_linestatus)) v from lineitem), b as (select distinct lower(trim(o_orderstatus)) v from orders), c as (select distinct lower(trim(l_returnflag)) v from lineitem),
-p as (select 'lineitem.l_linestatus' a, 'orders.o_orderstatus' b, (select count(*) from a join b using (v)) shared, (select count(*) from a) na, (select count(*) from b) nb
-  union all select 'lineitem.l_returnflag', 'orders.o_orderstatus', (select count(*) from c join b using (v)), (select count(*) from c), (select count(*) from b)
-  union all select 'lineitem.l_linestatus', 'lineitem.l_returnflag', (select count(*) from a join c using (v)), (select count(*) from a), (select count(*) from c))
-select *, 2 * shared > least(na, nb) copied from p where shared > 0""")
+@query(f"""with {ALL_SQL}, v as (select distinct src_table || '.' || src_column k, value_norm from lex), n as (select k, count(*) n from v group by k),
+p as (select x.k a, y.k b, count(*) shared from v x join v y on x.value_norm = y.value_norm and x.k < y.k group by all)
+select a, b, shared, na.n na, nb.n nb, 2 * shared > least(na.n, nb.n) copied from p join n na on na.k = a join n nb on nb.k = b""")
 def copied_columns(spark, d):
-    cat = test_tables(spark, d)
-    return lexical.copied_pairs(cat.lexical_values(["lineitem", "orders"]).where("src_column <> 'o_orderpriority'")).select("a", "b", "shared", "na", "nb", "copied")
+    return lexical.copied_pairs(test_tables(spark, d).lexical_values()).select("a", "b", "shared", "na", "nb", "copied")
 
 
 @query("""with cells as (select 'documents' src_table, 'text' src_column, doc_id src_rowid, md5(text) content_hash from documents),
-queue as (select 'documents' src_table, 'text' src_column, doc_id + 5 src_rowid, case when doc_id % 3 = 0 then 'stale' else md5(text) end old_hash, case when doc_id % 2 = 0 then 'done' else 'pending' end status from documents where doc_id % 5 < 3),
+queue as (select 'documents' src_table, 'text' src_column, case when doc_id % 5 < 3 then doc_id else -1 - doc_id end src_rowid, case when doc_id % 3 = 0 then 'stale' else md5(text) end old_hash, case when doc_id % 2 = 0 then 'done' else 'pending' end status from documents),
 vec as (select distinct doc_id src_rowid from labels),
 j as (select coalesce(c.src_rowid, q.src_rowid) src_rowid, content_hash, old_hash, status from cells c full join queue q using (src_table, src_column, src_rowid))
 select 'documents' src_table, 'text' src_column, j.src_rowid, case when content_hash is null then 'drop' when status is null then 'new' when old_hash <> '' and old_hash <> content_hash then 'changed' when status = 'done' and v.src_rowid is null then 'requeue' else 'keep' end as action
@@ -315,7 +331,8 @@ def queue_actions(spark, d):
     docs = _read(spark, d, "documents")
     key = [F.lit("documents").alias("src_table"), F.lit("text").alias("src_column")]
     cells = docs.select(*key, F.col("doc_id").alias("src_rowid"), F.md5("text").alias("content_hash"))
-    queue = docs.where("doc_id % 5 < 3").select(*key, (F.col("doc_id") + 5).alias("src_rowid"), F.when(F.col("doc_id") % 3 == 0, "stale").otherwise(F.md5("text")).alias("content_hash"), F.when(F.col("doc_id") % 2 == 0, "done").otherwise("pending").alias("status"))
+    place = F.when(F.col("doc_id") % 5 < 3, F.col("doc_id")).otherwise(-1 - F.col("doc_id"))  # the others are queued under rows that aren't there
+    queue = docs.select(*key, place.alias("src_rowid"), F.when(F.col("doc_id") % 3 == 0, "stale").otherwise(F.md5("text")).alias("content_hash"), F.when(F.col("doc_id") % 2 == 0, "done").otherwise("pending").alias("status"))
     return lexical.queue_actions(cells, queue, _read(spark, d, "labels").select(*key, F.col("doc_id").alias("src_rowid")))
 
 
