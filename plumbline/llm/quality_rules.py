@@ -26,7 +26,7 @@ from plumbline.llm.common import FILE, ROW, RowMap, located, rows_of, text_slice
 TOKEN = re.compile(r"\w+|[^\w\t\n\f\r ]+")
 #: Least number of buckets of the table, and most features a bucket before the table gets larger.
 BUCKETS = 1 << 18
-LOAD = 1024
+LOAD = 64
 #: Buckets that are summed at once.
 CHUNK = 1 << 18
 _MUL = 1_000_003
