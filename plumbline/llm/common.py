@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import math
+import os
 import re
 import tempfile
 import uuid
@@ -43,6 +44,19 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def opened(path: str):
+    """(pyarrow's file system, the path in it) of a path or URI."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", path) else (fs.LocalFileSystem(), path)
+
+
+def mounted(path: str) -> str | None:
+    """The absolute path of a folder that open() reaches; None for one in a store."""
+    system, inside = opened(path)
+    return os.path.abspath(inside) if system.type_name == "local" else None
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute df once and cut its lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -124,7 +138,7 @@ class RowMap:
             import pyarrow.dataset as ds
             from pyarrow import fs
 
-            system, path = fs.FileSystem.from_uri(self.root) if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", self.root) else (fs.LocalFileSystem(), self.root)
+            system, path = opened(self.root)
             path = f"{path}/bucket={file % self.buckets}"
             if system.get_file_info(path).type == fs.FileType.NotFound:
                 got = [np.zeros(0, np.int64)] * (1 + len(self.values))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import hashlib
 import math
+import os
 import re
 import shutil
 import tempfile
@@ -20,7 +21,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import FILE, ROW, RowMap, located, rows_of, text_slices, trim
+from plumbline.llm.common import FILE, ROW, RowMap, located, mounted, rows_of, shared_dir, text_slices, trim
 
 #: A token is a run of word characters or a run of other visible characters, as written.
 TOKEN = re.compile(r"\w+|[^\w\t\n\f\r ]+")
@@ -34,8 +35,8 @@ _MUL = 1_000_003
 THRESHOLD = -250_000
 #: Pseudo-occurrences of a bucket in the raw corpus; in the trusted one they count by its share of all features.
 ALPHA = 16.0
-#: Features, and then distinct ones, that a task holds.
-_HELD = 500_000
+#: Features that a task holds before it counts them, and distinct ones that it holds with their counts.
+_HELD, _COUNTED = 2_000_000, 4_000_000
 
 
 class _Md5(dict):
@@ -86,53 +87,64 @@ def buckets_for(n_features: int, least: int = BUCKETS, load: int = LOAD) -> int:
 
 
 def _packed(at: np.ndarray, raw: np.ndarray, good: np.ndarray) -> bytes:
-    return zlib.compress(np.stack([np.diff(at, prepend=0), raw, good]).astype(np.uint32).tobytes(), 1)
+    """Gaps of ascending buckets and counts, each byte's place apart: runs of zeros, and bytes of one distribution for Huffman's code."""
+    planes = np.stack([np.diff(at, prepend=0), raw, good]).astype("<u4").view(np.uint8).reshape(3, -1, 4).transpose(0, 2, 1)
+    z = zlib.compressobj(6, zlib.DEFLATED, zlib.MAX_WBITS, 9, zlib.Z_RLE)
+    return z.compress(planes.tobytes()) + z.flush()
+
+
+def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, (raw, good) rows) of _packed."""
+    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(3, 4, -1)
+    gaps, *both = np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u4")[..., 0]
+    return np.cumsum(gaps, dtype=np.int64), np.stack(both, axis=1)
 
 
 def ngram_counts(flagged: DataFrame, trusted: RowMap, buckets: int) -> DataFrame:
     """(chunk, counts) rows to be summed: the feature counts of all and of trusted documents, sparse and packed.
 
     Each task sorts its features and counts those it has, so neither what it holds nor what is shuffled grows
-    with the table of buckets; a chunk is a range of CHUNK buckets. flagged: text, __file, __row.
+    with the table of buckets; a bucket that it has often is one entry, unless it has more than _COUNTED. A chunk
+    is a range of CHUNK buckets. flagged: text, __file, __row.
     """
+    kind = np.uint32 if buckets < 2**32 else np.int64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[], []]
-        size = 0
-        sums = np.zeros((3, 0), np.int64)
+        size = total = 0  # features since the last merge, and since the last flush
+        at, sums = np.zeros(0, kind), np.zeros((2, 0), np.uint32)
 
         def merge() -> None:
-            nonlocal held, size, sums
-            for k in (0, 1):
-                if held[k]:
-                    at, n = np.unique(np.concatenate(held[k]), return_counts=True)
-                    every, to = np.unique(np.concatenate([sums[0], at]), return_inverse=True)
-                    both = np.zeros((3, len(every)), np.int64)
-                    both[0] = every
-                    both[1:, to[: sums.shape[1]]] = sums[1:]
-                    both[1, to[sums.shape[1] :]] += n
-                    both[2, to[sums.shape[1] :]] += n * k
-                    sums = both
+            nonlocal held, size, at, sums
+            new = [np.unique(np.concatenate([at[:0], *x]), return_counts=True) for x in held]
             held, size = [[], []], 0
+            every = np.sort(np.concatenate([at, *(x for x, _ in new)]))
+            every = every[np.append(True, every[1:] != every[:-1])[: len(every)]]  # np.unique without counts hashes: 60 times slower here
+            both = np.zeros((2, len(every)), np.uint32)
+            both[:, np.searchsorted(every, at)] = sums
+            for k, (x, n) in enumerate(new):
+                to = np.searchsorted(every, x)
+                both[: k + 1, to] += n.astype(np.uint32)
+            at, sums = every, both
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal sums
-            chunks, starts = np.unique(sums[0] // CHUNK, return_index=True)
-            for c, p in zip(chunks, np.split(sums, starts[1:], axis=1)):
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "counts": pa.array([_packed(p[0] - c * CHUNK, p[1], p[2])], pa.binary())})
-            sums = np.zeros((3, 0), np.int64)
+            nonlocal total, at, sums
+            chunks, starts = np.unique(at // CHUNK, return_index=True)
+            for c, x, n in zip(chunks, np.split(at, starts[1:]), np.split(sums, starts[1:], axis=1)):
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "counts": pa.array([_packed(x.astype(np.int64) - int(c) * CHUNK, *n)], pa.binary())})
+            total, at, sums = 0, at[:0], sums[:, :0]
 
         for b in batches:
             good = trusted.find(b.column(1).to_numpy(), b.column(2).to_numpy())[0]
             for start, texts in text_slices(b.column(0)):
                 text, f = features_of(texts, buckets)
                 mine = good[text + start]
-                held[0].append(f[~mine])
-                held[1].append(f[mine])
-                size += len(f)
+                held[0].append(f[~mine].astype(kind))
+                held[1].append(f[mine].astype(kind))
+                size, total = size + len(f), total + len(f)
                 if size > _HELD:
                     merge()
-                    if sums.shape[1] > _HELD:
+                    if len(at) > _COUNTED or total > 2**31:  # counts are packed as 32 bits
                         yield from flush()
         merge()
         yield from flush()
@@ -150,32 +162,50 @@ def log_ratios(raw: np.ndarray, good: np.ndarray, n_raw: np.ndarray | int, n_goo
 
 
 def counts_file(counts: DataFrame, buckets: int) -> str:
-    """Name of an added file of buckets + 1 pairs (raw count, trusted count; uint32), for SparkFiles.
+    """A file of buckets + 1 pairs (raw count, trusted count; uint32): its path in the shared folder, or the name
+    of an added file, for SparkFiles, where that folder isn't mounted.
 
-    Chunks are summed by the executors and pass the driver one partition at a time on their way into the
-    file. Workers map it, so those of an executor share its pages and none holds it as a whole.
+    Executors sum the chunks and write each at its place in the one file, so nothing passes the driver and there
+    are no copies. A folder that isn't mounted can't be mapped: chunks pass the driver one partition at a
+    time on their way into a file that is sent to the executors. Workers map the file, so those of an executor share
+    its pages and none holds it as a whole.
     """
+    spark = counts.sparkSession
+    shared = mounted(shared_dir(spark))
+    name = f"counts-{uuid.uuid4().hex}"
+    if shared:
+        folder = f"{shared}/{name}"
+        os.makedirs(folder)
+    else:
+        folder = tempfile.mkdtemp(prefix="plumbline-")  # the driver's copy of what addFile sends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = f"{folder}/{name}"
+    with open(path, "wb") as f:  # a bucket of a chunk that nothing fell into is never looked up
+        f.truncate(8 * (buckets + 1))
+
+    def put(chunk: int, data: bytes) -> None:
+        with open(path, "r+b") as f:
+            f.seek(8 * chunk * CHUNK)
+            f.write(data)
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         chunk = int(pdf["chunk"].iloc[0])
         both = np.zeros((min(CHUNK, buckets + 1 - chunk * CHUNK), 2), np.int64)
         for x in pdf["counts"]:
-            p = np.frombuffer(zlib.decompress(x), np.uint32).reshape(3, -1)
-            both[np.cumsum(p[0], dtype=np.int64)] += p[1:].T
-        return pd.DataFrame({"chunk": [chunk], "counts": [zlib.compress(np.minimum(both, 2**32 - 1).astype(np.uint32).tobytes(), 1)]})
-
-    spark = counts.sparkSession
-    folder = tempfile.mkdtemp(prefix="plumbline-")  # the driver's copy of what addFile sends
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    name = f"counts-{uuid.uuid4().hex}"
-    out = np.memmap(f"{folder}/{name}", np.uint32, "w+", shape=(buckets + 1, 2))
-    # a bucket of a chunk that nothing fell into is never looked up
-    for r in counts.groupBy("chunk").applyInPandas(add, "chunk int, counts binary").toLocalIterator():
-        w = np.frombuffer(zlib.decompress(r.counts), np.uint32).reshape(-1, 2)
-        out[r.chunk * CHUNK : r.chunk * CHUNK + len(w)] = w
-    out.flush()
-    del out
-    spark.sparkContext.addFile(f"{folder}/{name}")
+            at, n = _unpacked(x)
+            both[at] += n
+        data = np.minimum(both, 2**32 - 1).astype(np.uint32).tobytes()
+        if shared:
+            put(chunk, data)
+        return pd.DataFrame({"chunk": [chunk], "counts": [b"" if shared else zlib.compress(data, 1)]})
+
+    summed = counts.groupBy("chunk").applyInPandas(add, "chunk int, counts binary")
+    if shared:
+        summed.agg(F.count("counts")).first()
+        return path
+    for r in summed.toLocalIterator():
+        put(r.chunk, zlib.decompress(r.counts))
+    spark.sparkContext.addFile(path)
     return name
 
 
@@ -196,7 +226,7 @@ def score_texts(texts: list[str | None], good: np.ndarray, table: np.ndarray, to
 def _scorer(name: str, trusted: RowMap, totals: tuple[int, int], buckets: int, alpha: float):
     @F.pandas_udf("struct<total: bigint, n: bigint>")
     def score(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        table = np.memmap(SparkFiles.get(name), np.uint32, "r").reshape(-1, 2)
+        table = np.memmap(name if os.path.isabs(name) else SparkFiles.get(name), np.uint32, "r").reshape(-1, 2)
         for texts, files, rows in batches:
             good = trusted.find(files.to_numpy(), rows.to_numpy())[0]
             out = [score_texts(list(texts[k : k + 500]), good[k : k + 500], table, totals, buckets, alpha) for k in range(0, len(texts), 500)]

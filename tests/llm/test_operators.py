@@ -123,6 +123,50 @@ def test_quality_rules_table_grows_with_the_features(spark, docs, rows, monkeypa
         assert r.n_features == n and (not n or abs(r.score - total / n / 1e6) < 2e-6)
 
 
+def test_quality_rules_ship_each_bucket_once_and_densely(spark):
+    # at 30 GB a task has some 2.8 million of 2^29 buckets: 1.44 + log2(190) bits for the gap, 2 for the counts
+    r = np.random.default_rng(5)
+    at = np.sort(r.choice(1 << 18, 1400, replace=False))
+    raw = 1 + (r.random(1400) < 0.1)
+    good = (r.random(1400) < 0.5) * raw
+    packed = quality_rules._packed(at, raw, good)
+    back, both = quality_rules._unpacked(packed)
+    assert (back == at).all() and (both == np.stack([raw, good], axis=1)).all() and len(packed) < 2 * len(at)
+    assert [len(x) for x in quality_rules._unpacked(quality_rules._packed(at[:0], raw[:0], good[:0]))] == [0, 0]
+    most = np.array([0, 2**32 - 1, 2**32 - 1])[:, None]
+    assert [x.tolist() for x in quality_rules._unpacked(quality_rules._packed(*most))] == [[0], [[2**32 - 1] * 2]]
+    # 1.2 million distinct features twice in one task: a row a chunk, not one for each half a million
+    once = [" ".join(str(k) for k in range(n, n + 60_000)) for n in range(0, 600_000, 60_000)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(once + once)], "doc_id long, text string").coalesce(1)
+    place = quality_rules.located(docs)
+    good = quality_rules.RowMap(quality_rules.rows_of(place, spark.createDataFrame([(0,)], "doc_id long")))
+    got = quality_rules.ngram_counts(place.select("text", "__file", "__row"), good, 1 << 20).collect()
+    assert sorted(x.chunk for x in got) == list(range(4))
+    n = np.sum([quality_rules._unpacked(x.counts)[1].sum(axis=0) for x in got], axis=0)
+    assert n.tolist() == [20 * 119_999, 119_999]
+
+
+@pytest.mark.parametrize("shared", [True, False])
+def test_quality_rules_write_the_table_once(spark, docs, monkeypatch, tmp_path, shared):
+    """Into the shared folder, where it can be mapped; else through the driver to the executors. The counts are the same."""
+    texts = ["a b a b c", None, "", "b b b", "c d"]
+    counted = docs.sparkSession.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    place = quality_rules.located(counted)
+    good = quality_rules.RowMap(quality_rules.rows_of(place, spark.createDataFrame([(0,), (3,)], "doc_id long")))
+    b = 1 << 20
+    counts = quality_rules.ngram_counts(place.select("text", "__file", "__row"), good, b)
+    monkeypatch.setattr(quality_rules, "shared_dir", lambda _: f"file://{tmp_path}")
+    if not shared:
+        monkeypatch.setattr(quality_rules, "mounted", lambda _: None)
+    name = quality_rules.counts_file(counts, b)
+    assert name.startswith(str(tmp_path)) == shared and len(list(tmp_path.iterdir())) == shared
+    table = np.fromfile(name if shared else quality_rules.SparkFiles.get(name), np.uint32).reshape(-1, 2)
+    want = np.zeros((b + 1, 2), np.uint32)
+    for k, t in enumerate(texts):
+        np.add.at(want, quality_rules.features_of([t], b)[1], [1, k in (0, 3)])
+    assert table.shape == want.shape and (table == want).all() and want[b].tolist() == [2, 2]
+
+
 # 2 URL filters
 
 
