@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -97,6 +98,17 @@ def nearest_rank(values: list[float], p: float) -> float:
     return xs[min(max(math.ceil(len(xs) * p), 1), len(xs)) - 1] if xs else 0.0
 
 
+#: Numbers that one matrix of random draws holds.
+DRAWN = 1 << 20
+
+
+def _draws(total: int, n: int) -> Iterator[int]:
+    """How many draws of n numbers to make at once: one at least. The generator's numbers are the same however they are split."""
+    most = max(1, min(1000, DRAWN // n))
+    for start in range(0, total, most):
+        yield min(most, total - start)
+
+
 def paired_randomization(diffs: list[float], permutations: int = 10_000, seed: int = 1) -> float:
     """Two-sided p of a mean difference under random sign flips, with add-one smoothing."""
     d = np.asarray(diffs, float)
@@ -105,8 +117,10 @@ def paired_randomization(diffs: list[float], permutations: int = 10_000, seed: i
     rng = np.random.default_rng(seed)
     seen = abs(d.mean())
     hits = 0
-    for start in range(0, permutations, 1000):
-        signs = rng.integers(0, 2, (min(1000, permutations - start), len(d))) * 2 - 1
+    for draws in _draws(permutations, len(d)):
+        signs = rng.integers(0, 2, (draws, len(d)))
+        signs *= 2
+        signs -= 1
         hits += int((np.abs((signs * d).mean(1)) >= seen - 1e-12).sum())
     return (hits + 1) / (permutations + 1)
 
@@ -117,7 +131,7 @@ def bootstrap_ci95(diffs: list[float], resamples: int = 10_000, seed: int = 1) -
     if not len(d):
         return 0.0, 0.0
     rng = np.random.default_rng(seed)
-    means = np.sort(np.concatenate([rng.choice(d, (min(1000, resamples - s), len(d))).mean(1) for s in range(0, resamples, 1000)]))
+    means = np.sort(np.concatenate([rng.choice(d, (draws, len(d))).mean(1) for draws in _draws(resamples, len(d))]))
     return float(means[int(0.025 * resamples)]), float(means[min(int(0.975 * resamples), resamples - 1)])
 
 

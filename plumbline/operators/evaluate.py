@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,15 +76,20 @@ def nearest_rank_percentile(x: str, p: float) -> Column:
 
 
 def compare_runs(a: DataFrame, b: DataFrame, by: str, value: str, permutations: int = 2000) -> DataFrame:
-    """(by, n, delta, p, lo, hi): paired difference b - a per group with a randomisation p and a bootstrap interval. a, b: qid, by, value."""
-    d = a.select("qid", by, F.col(value).alias("x")).join(b.select("qid", by, F.col(value).alias("y")), ["qid", by]).withColumn("d", F.col("y") - F.col("x"))
+    """(by, n, delta, p, lo, hi): paired difference b - a per group with a randomisation p and a bootstrap interval. a, b: qid, by, value.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        diffs = pdf.sort_values("qid")["d"].tolist()
+    A group is one task: its differences are some numbers a query, and the draws are made a few at a time.
+    """
+    d = a.select("qid", by, F.col(value).alias("x")).join(b.select("qid", by, F.col(value).alias("y")), ["qid", by]).select(by, "qid", (F.col("y") - F.col("x")).cast("double").alias("d"))
+
+    def run(group: pa.Table) -> pa.Table:
+        at = pc.sort_indices(group, sort_keys=[("qid", "ascending"), ("d", "ascending")])
+        diffs = group["d"].combine_chunks().to_numpy(zero_copy_only=False)[at.to_numpy()]
         lo, hi = bootstrap_ci95(diffs, permutations)
-        return pd.DataFrame([(pdf[by].iloc[0], len(diffs), sum(diffs) / len(diffs), paired_randomization(diffs, permutations), lo, hi)], columns=[by, "n", "delta", "p", "lo", "hi"])
+        row = {by: group[by][0].as_py(), "n": len(diffs), "delta": sum(diffs.tolist()) / len(diffs), "p": paired_randomization(diffs, permutations), "lo": lo, "hi": hi}
+        return pa.Table.from_pylist([row], pa.schema([(by, pa.string()), ("n", pa.int64()), *[(c, pa.float64()) for c in ("delta", "p", "lo", "hi")]]))
 
-    return d.groupBy(by).applyInPandas(run, f"{by} string, n long, delta double, p double, lo double, hi double")
+    return d.groupBy(by).applyInArrow(run, f"{by} string, n long, delta double, p double, lo double, hi double")
 
 
 def grade(run: DataFrame, baseline: DataFrame, floor: float = 0.01, alpha: float = 0.05) -> DataFrame:

@@ -54,3 +54,31 @@ def test_percentiles_and_resampling():
     assert 0.35 < lo < 0.5 < hi < 0.65
     p = stats.randomized_tukey_hsd([[0.1, 0.9, 0.1]] * 12, 400)
     assert p[0, 1] < 0.05 and p[0, 2] == 1.0
+
+
+def test_draws_of_many_queries_take_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    d = np.random.default_rng(1).standard_normal(40_000) / 8 + 0.001
+    tracemalloc.start()
+    p, (lo, hi) = stats.paired_randomization(d, 300), stats.bootstrap_ci95(d, 300)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # 300 draws at once are 96 MB a matrix
+    rng = np.random.default_rng(1)
+    signs = rng.integers(0, 2, (300, len(d))) * 2 - 1
+    assert p == (int((np.abs((signs * d).mean(1)) >= abs(d.mean()) - 1e-12).sum()) + 1) / 301
+    means = np.sort(np.random.default_rng(1).choice(d, (300, len(d))).mean(1))
+    assert (lo, hi) == (means[7], means[292])
+
+
+def test_runs_are_compared_in_order_of_queries(spark):
+    from plumbline.operators import evaluate
+
+    a = spark.createDataFrame([(k, g, k / 64) for k in range(50) for g in "xy"] + [(99, "x", None)], "qid long, g string, v double")
+    b = spark.createDataFrame([(k, g, (k * 7 % 13) / 16) for k in reversed(range(45)) for g in "xy"], "qid long, g string, v double")
+    want = [(k * 7 % 13) / 16 - k / 64 for k in range(45)]
+    for r in evaluate.compare_runs(a, b, "g", "v", 200).collect():
+        assert (r.n, r.delta, r.p, (r.lo, r.hi)) == (45, sum(want) / 45, stats.paired_randomization(want, 200), stats.bootstrap_ci95(want, 200))
