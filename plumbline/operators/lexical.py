@@ -12,6 +12,7 @@ EXACT_MOST_CHARS = 120
 CHANNEL_LIMIT = 8
 PREWINDOW = 512
 DOC_QUOTA = 4
+SPREAD = 64  # tasks that the cells of one trigram may go to
 COLUMN = ["src_table", "src_column"]
 READING = [*COLUMN, "value_norm"]
 
@@ -123,31 +124,38 @@ def phrase_matches(spans: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def trigram_matches(spans: DataFrame, lex: DataFrame) -> DataFrame:
-    """Cells that contain the span in any case: joined on the span's rarest trigram, then verified. f and dl count trigrams."""
+    """Cells that contain the span in any case: joined on the span's rarest trigram, then verified. f and dl count trigrams.
+
+    The spans' distinct trigrams are broadcast (there are as many as letters make, not as many as spans), so cells are
+    shuffled only for a trigram that is some span's rarest; those of one trigram go to many tasks.
+    """
     grams = lex.select(*COLUMN, "src_rowid", "value", F.explode(trigrams(F.col("value"))).alias("g"))
     s = spans.where(F.length("text") >= 3).select("qid", "span", "text", F.explode(trigrams(F.col("text"))).alias("g"))
-    df = grams.join(s.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count("*").alias("df"))
-    rare = s.join(df, "g", "left").withColumn("k", F.row_number().over(Window.partitionBy("qid", "span").orderBy(F.coalesce("df", F.lit(0)), "g"))).where("k = 1")
-    hit = rare.select("qid", "span", "text", "g").join(grams, "g").where(F.contains(F.lower("value"), F.lower("text")))
+    df = grams.join(F.broadcast(s.select("g").distinct()), "g", "left_semi").groupBy("g").agg(F.count("*").alias("df"))
+    rare = s.join(df, "g", "left").withColumn("k", F.row_number().over(Window.partitionBy("qid", "span").orderBy(F.coalesce("df", F.lit(0)), "g"))).where("k = 1 and df > 0").select("qid", "span", "text", "g")
+    some = grams.join(F.broadcast(rare.select("g").distinct()), "g", "left_semi").withColumn("part", F.pmod(F.xxhash64(*COLUMN, "src_rowid"), F.lit(SPREAD)).cast("int"))
+    hit = rare.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)))).join(some, ["g", "part"]).where(F.contains(F.lower("value"), F.lower("text")))
     low, part = F.lower("value"), F.lower("text")
     f = (F.length(low) - F.length(F.replace(low, part, F.lit("")))) / F.length(part)
     return hit.select("qid", "span", *COLUMN, "src_rowid", F.greatest(F.length("value") - 2, F.lit(1)).alias("dl"), f.cast("long").alias("f"))
 
 
 def bm25(matches: DataFrame, n_cells: int, avg_len: float) -> DataFrame:
-    """matches with score: k1 1.2, b 0.75, inverse frequency floored at 1e-6."""
-    n = F.count("*").over(Window.partitionBy("qid", "span"))
+    """matches with score: k1 1.2, b 0.75, inverse frequency floored at 1e-6. A span's matches are counted in parts, so they needn't be one task's."""
+    m = matches.join(matches.groupBy("qid", "span").agg(F.count("f").alias("__n")), ["qid", "span"])
+    n = F.col("__n")
     idf = F.log((n_cells - n + 0.5) / (n + 0.5))
     idf = F.when(idf <= 0, 1e-6).otherwise(idf)
     f = F.col("f")
-    return matches.withColumn("score", F.round(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * F.col("dl") / avg_len)), 9))
+    return m.withColumn("score", F.round(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * F.col("dl") / avg_len)), 9)).drop("__n")
 
 
 def ranked_channel(scored: DataFrame, lex: DataFrame, channel: str) -> DataFrame:
     """The channel's hits: of a span's best 512 cells, value cells grouped by reading and at most 4 documents a
     column, the best 8 of them all, with competition ranks. lex needs is_doc."""
     best = scored.withColumn("k", F.row_number().over(Window.partitionBy("qid", "span").orderBy(F.desc("score"), *COLUMN, "src_rowid"))).where(F.col("k") <= PREWINDOW)
-    best = best.join(lex.select(*COLUMN, "src_rowid", "value", "value_norm", "is_doc"), [*COLUMN, "src_rowid"])
+    # by hash on both sides: as a late broadcast, a task would read all the cells that one task of lex wrote
+    best = best.hint("shuffle_hash").join(lex.select(*COLUMN, "src_rowid", "value", "value_norm", "is_doc"), [*COLUMN, "src_rowid"])
     values = best.where("not is_doc").groupBy("qid", "span", *READING).agg(
         F.min("src_rowid").alias("src_rowid"), F.min("value").alias("value"), F.max("score").alias("raw"), F.count("*").alias("row_count"), F.lit(False).alias("is_doc")
     )
